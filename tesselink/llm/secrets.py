@@ -52,22 +52,38 @@ def _add(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often and however deep the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(steps: Column, use) -> Column:
+    """``use`` of (x, i) -> start of match i; ``steps`` has each match's gap before it and length."""
+    block_of = lambda i: F.floor(i / _BLOCK).cast("int")
+    sums = lambda moves: F.transform(F.sequence(F.lit(0), block_of(F.size(moves) - 1)), lambda b: _add(F.slice(moves, b * _BLOCK + 1, F.lit(_BLOCK))))
+    ahead = lambda blocks: F.transform(blocks, lambda x, b: _add(F.slice(blocks, F.lit(1), b)))
+    return _let(F.transform(steps, lambda x: x["gap"] + x["len"]), lambda moves: _let(sums(moves), lambda blocks: _let(ahead(blocks), lambda before: use(
+        lambda x, i: F.get(before, block_of(i)) + _add(F.slice(moves, block_of(i) * _BLOCK + 1, i % _BLOCK)) + x["gap"]))))
+
+
 def _spans(text: str, number: int, rule: Rule) -> Column:
     """Spans of a rule in the column ``text``."""
     col = F.col(text)
-    match, gap = F.regexp_extract_all(col, F.lit(rule.pattern), 0), F.split(col, rule.pattern, -1)
-    steps = F.transform(match, lambda m, i: F.struct(F.length(F.get(gap, i)).alias("gap"), F.length(m).alias("len"), m.alias("m")))
-
-    def placed(found: Column) -> Column:
-        moves = F.transform(found, lambda x: x["gap"] + x["len"])
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(moves) - 1) / _BLOCK).cast("int")), lambda b: _add(F.slice(moves, b * _BLOCK + 1, F.lit(_BLOCK))))
-        before = F.transform(blocks, lambda x, b: _add(F.slice(blocks, F.lit(1), b)))
-        start = lambda x, i: (F.get(before, F.floor(i / _BLOCK).cast("int")) + _add(F.slice(moves, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)) + x["gap"])
-        return F.transform(found, lambda x, i: F.struct(start(x, i).alias("start"), x["len"].alias("len"), x["m"].alias("m")))
-
-    counted = F.filter(placed(steps), lambda x: F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least) if rule.least else placed(steps)
-    spans = F.transform(counted, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), (x["start"] + x["len"]).alias("end")))
-    return F.when(col.rlike(rule.pattern), spans).otherwise(F.array().cast(SPANS))
+    counts = F.lit(True) if not rule.least else None
+    match, gaps = F.regexp_extract_all(col, F.lit(rule.pattern), 0), F.split(col, rule.pattern, -1)
+
+    def step(m, g):
+        enough = counts if counts is not None else F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least
+        return F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), F.length(m).alias("len"), enough.alias("counts"))
+
+    def spans(steps):
+        return _starts(steps, lambda start: F.transform(steps, lambda x, i: F.struct(start(x, i).alias("start"), F.lit(number).alias("kind"), (start(x, i) + x["len"]).alias("end"), x["counts"].alias("counts"))))
+
+    # The gap after the last match has no match; it is left out.
+    pairs = F.zip_with(match, gaps, step)
+    found = _let(pairs, lambda all_: _let(F.slice(all_, F.lit(1), F.size(all_) - 1), spans))
+    kept = F.transform(F.filter(found, lambda x: x["counts"]), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    return F.when(col.rlike(rule.pattern), kept).otherwise(F.array().cast(SPANS))
 
 
 def blob(text: Column) -> Column:
