@@ -35,9 +35,14 @@ def unit_interval(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Rows of one checkpoint file, where their number is known.
+FILE_ROWS = 250_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint.
 
+    ``rows``, if known, bounds the number of rows; they are then written to as few files as that needs.
     The folder is the one that ``spark.checkpoint.dir`` names.  Only a local master without that setting
     gets a temporary folder; on a cluster executors would not share it, so there it is an error.
     """
@@ -51,4 +56,4 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tesselink-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).checkpoint(eager=True)

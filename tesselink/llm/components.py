@@ -36,7 +36,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if new == mark or not new["n"]:
             break
         mark = new
-        now = durable(_small(_large(now)).distinct())
+        now = durable(_small(_large(now)).distinct(), 2 * new["n"])
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

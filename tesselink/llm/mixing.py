@@ -111,7 +111,7 @@ def mix_plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: flo
         .groupBy("key", "cell").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"), F.first("before").alias("before"))
     )
     second = _boundary(fine, "cut")
-    return durable(sources.drop("source").join(second, "key", "left"))
+    return durable(sources.drop("source").join(second, "key", "left"), sources.count())
 
 
 def _keyed(docs, quality, id_col, text_col, source_col, seed):

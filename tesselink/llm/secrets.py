@@ -20,8 +20,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -92,7 +90,7 @@ def blob(text: Column) -> Column:
 
 def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ledger rows (``LEDGER``) of the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks."""
-    paths = durable(docs.select(F.col(id_col).alias("path"), blob(F.col(text_col)).alias("blob")))
+    paths = docs.select(F.col(id_col).alias("path"), blob(F.col(text_col)).alias("blob"))
     one = paths.groupBy("blob").agg(F.min("path").alias("path"))
     every = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
@@ -106,7 +104,8 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
     for k, r in enumerate(rules):
         unseen = unseen.withColumn(f"__s{k}", F.when(F.array_contains("due", r.kind), _spans("text", k, r)))
     found = unseen.select("blob", F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(f"__s{k}").alias("spans")) for k, r in enumerate(rules)]).alias("all"))
-    return durable(found.dropDuplicates(["blob"]).select("blob", F.explode("all").alias("x")).select("blob", "x.rule", "x.version", "x.spans").where("spans is not null"))
+    # Rows that repeat id and text were scanned together; a pair is written once.
+    return found.select("blob", F.explode("all").alias("x")).select("blob", "x.rule", "x.version", "x.spans").where("spans is not null").distinct()
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -136,7 +135,7 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
            length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mark``; ``length_col``, if given, follows."""
     fresh = scan_blobs(docs, ledger, rules, id_col=id_col, text_col=text_col)
-    hits = durable(findings(fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "version", "spans")), rules))
+    hits = findings(fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "version", "spans")), rules)
     rows = docs.withColumn("__blob", blob(F.col(text_col))).join(hits.withColumnRenamed("spans", "__spans"), F.col("__blob") == F.col("found_blob"), "left")
     text = F.col(text_col)
     step = lambda a, s: F.struct(

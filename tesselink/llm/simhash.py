@@ -106,19 +106,20 @@ def pivot_table(prints: DataFrame) -> DataFrame:
     return table.withColumn("cells", F.array(*[cell(k) for k in range(len(_BLOCKS))]))
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) that make the same components as all pairs within 2 bits."""
-    if radius != RADIUS:
-        raise ValueError("the blocks are laid out for 2 bits")
+def links(prints: DataFrame, rows: int | None = None) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column fp) that make the same components as all pairs within 2 bits.
+
+    ``rows``, if known: at most so many fingerprints.
+    """
     cells = pivot_table(prints).select("fp", "far", F.explode("cells").alias("cell"))
-    sizes = durable(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = durable(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), rows)
     shared = cells.join(sizes, "cell")
     few = shared.where(F.col("n") <= CROWDED).select("cell", "fp", "far")
     other = few.select("cell", F.col("fp").alias("fp2"), F.col("far").alias("far2"))
-    near = F.forall(F.zip_with("far", "far2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), lambda d: d <= radius)
+    near = F.forall(F.zip_with("far", "far2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), lambda d: d <= RADIUS)
     paired = (
         few.join(other, "cell").where("fp < fp2").where(near)
-        .where(_distance(F.col("fp"), F.col("fp2")) <= radius)
+        .where(_distance(F.col("fp"), F.col("fp2")) <= RADIUS)
         .select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
     )
     crowd = shared.where(F.col("n") > CROWDED).select("fp").distinct()
@@ -133,8 +134,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``docs`` without the text, with fingerprint (16 hex digits) and component_id, the smallest id reachable."""
     own = [c for c in docs.columns if c not in (text_col, "fingerprint", "component_id")]
     rows = durable(docs.select(*own, fingerprint(F.col(text_col)).alias("__fp")))
-    prints = durable(rows.groupBy("__fp").agg(F.min(id_col).alias("__least")).withColumnRenamed("__fp", "fp"))
-    roots = durable(components(links(prints.select("fp"))))
+    n = rows.count()
+    prints = durable(rows.groupBy("__fp").agg(F.min(id_col).alias("__least")).withColumnRenamed("__fp", "fp"), n)
+    roots = components(links(prints.select("fp"), n))
     of = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("__least").alias("component_id"))
     named = of.join(least, "root").select(F.col("fp").alias("__of"), "component_id")

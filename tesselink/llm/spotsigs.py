@@ -113,8 +113,9 @@ def edited_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     narrow = durable(texts.select("doc_id", "h", F.length("text").cast("long").alias("n")))
     ids = narrow.distinct()
-    order = durable(following(ids))
-    repeated = narrow.count() > order.count()
+    rows = narrow.count()
+    order = durable(following(ids), rows)
+    repeated = rows > order.count()
     wanted = order.select(F.col("next_id").alias("id2"), F.col("next_h").alias("h2"), F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 3).cast("int").alias("k"))
     match = texts["doc_id"].eqNullSafe(wanted["id2"]) & (texts["h"] == wanted["h2"])
     heads = texts.join(wanted.hint("shuffle_hash"), match).select(
