@@ -1,0 +1 @@
+"""Streams are no part of this engine: its sources are bounded tables."""
