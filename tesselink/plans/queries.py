@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import decide, encoding, models, pairs, retrieval, rules, simulate, translit, windows
+from ..operators.cut import cut
 from ..sources import files
 from . import fixtures as fx
 
@@ -323,9 +324,9 @@ def normalized_records(spark, sf_dir):
 
 @query()
 def retrieval_three_views(spark, sf_dir):
-    n = pairs.normalized(fx.business_records(spark, sf_dir))
+    n = cut(pairs.normalized(fx.business_records(spark, sf_dir)))
     f = {"name": tx.name_features(F.col("n_core"), F.col("n_web"), F.col("n_skel")), "addr": tx.addr_features(F.col("a_comps"), F.col("a_state"))}
-    view = lambda k: retrieval.cosine(*(retrieval.feature_counts(n.where(f"src {'<>' if s else '='} 1"), f[k]) for s in (1, 0)))
+    view = lambda k: retrieval.cosine(*(cut(retrieval.feature_counts(n.where(f"src {'<>' if s else '='} 1"), f[k])) for s in (1, 0)))
     return rounded(retrieval.views_union(view("name"), view("addr"), 10), "cos_n", "cos_a")
 
 
@@ -343,6 +344,7 @@ def pair_features(spark, sf_dir):
 def _typed(spark, sf_dir):
     x = _features(spark, sf_dir)
     x = x.withColumns(encoding.differences(F.split("n_core1", " "), F.split("n_core2", " ")))
+    x = cut(x)
     rates = encoding.word_rates(x, 5)
     return pairs.pair_types(x, rates, noise={"US": ["global"], "France": ["global"]}, country_token={"US": r"\b(usa|america)\b"})
 
@@ -355,28 +357,32 @@ def pair_types(spark, sf_dir):
 @query()
 def unseen_block_rules(spark, sf_dir):
     """All rules in turn over the types of one block, truth taken from the others."""
-    x = _typed(spark, sf_dir)
+    x = cut(_typed(spark, sf_dir))
     truth = pairs.type_truth(x.where("block <> 'France'"))
     p = F.col("nm_tset") / 200 + F.col("ad_tset") / 200
-    facts = x.where("block = 'France'").join(truth, "type", "left").withColumns({
-        "p1": p, "q": p, "pf": p, "q1": p, "q2": p, "tr_n2": F.col("tr_n") * 100, "tr_y2": F.col("tr_y"), "us_n": F.lit(1000), "us_acc": F.col("tr_y"), "wfreq": F.lit(1), "n_same_core": F.lit(1), "rate": F.lit(0.5)})
-    base = decide.decide(facts.withColumn("p", p), 0.97)
-    out = rules.add_trusted_types(rules.add_noise_word(rules.drop_swaps(base, facts), facts, "global"), facts)
-    early = rules.self_training(out, facts)
-    late = rules.rescored(rules.lone_address(rules.entity_aware(early, facts), facts), facts)
+    facts = cut(x.where("block = 'France'").join(truth, "type", "left").withColumns({
+        "p1": p, "q": p, "pf": p, "q1": p, "q2": p, "tr_n2": F.col("tr_n") * 100, "tr_y2": F.col("tr_y"), "us_n": F.lit(1000), "us_acc": F.col("tr_y"), "wfreq": F.lit(1), "n_same_core": F.lit(1), "rate": F.lit(0.5)}))
+    out = cut(decide.decide(facts.withColumn("p", F.col("p1")), 0.97))
+    out = cut(rules.drop_swaps(out, facts))
+    out = cut(rules.add_noise_word(out, facts, "global"))
+    out = cut(rules.add_trusted_types(out, facts))
+    early = cut(rules.self_training(out, facts))
+    late = cut(rules.entity_aware(early, facts))
+    late = cut(rules.lone_address(late, facts))
+    late = cut(rules.rescored(late, facts))
     return rules.tighten(early, late, facts)
 
 
 @query()
 def combine_paths(spark, sf_dir):
     x = _features(spark, sf_dir).withColumns(encoding.differences(F.split("n_core1", " "), F.split("n_core2", " ")))
-    facts = x.withColumn("unseen", F.col("block") == "France").withColumn("p", F.col("nm_tset") / 200 + F.col("ad_tset") / 200)
-    return decide.combine(decide.decide(facts, 0.99), decide.decide(facts, 0.8), facts, encoding.word_rates(x, 5), wide=True)
+    facts = cut(x.withColumn("unseen", F.col("block") == "France").withColumn("p", F.col("nm_tset") / 200 + F.col("ad_tset") / 200))
+    return decide.combine(decide.decide(facts, 0.99), decide.decide(facts, 0.8), facts, encoding.word_rates(facts, 5), wide=True)
 
 
 @query()
 def self_training_labels(spark, sf_dir):
-    facts = _typed(spark, sf_dir).withColumn("p1", F.col("nm_tset") / 200 + F.col("ad_tset") / 200)
+    facts = cut(_typed(spark, sf_dir)).withColumn("p1", F.col("nm_tset") / 200 + F.col("ad_tset") / 200)
     return rules.pseudo_labels(facts, decide.decide(facts, 0.97, p="p1"), low=0.6)
 
 
@@ -414,9 +420,9 @@ def gbt_stage1(spark, sf_dir):
 @query()
 def crossfit_stack(spark, sf_dir):
     """Two levels: out-of-fold scores, then group features of them for a second cross-fitted model."""
-    x = _stage1(spark, sf_dir).persist()
+    x = cut(_stage1(spark, sf_dir))
     one, _ = models.CrossFit(models.GbtScorer(rounds=3, depth=3), folds=3).fit_transform(x.withColumn("fold", F.col("fold") % 3), _GBT, "p2")
-    g = windows.group_features(one.persist(), "p2").drop("sib_id")
+    g = windows.group_features(cut(one), "p2").drop("sib_id")
     two, _ = models.CrossFit(models.GbtScorer(rounds=3, depth=3), folds=3).fit_transform(g, [*_GBT, "p2", "g_rec_max", "g_rec_rank", "g_s1_sum", "g_rec_margin", "g_sib_p"], "p3")
     return rounded(two.select("rec_id", "s1_id", "y", "p2", "p3"), "p2", "p3")
 
