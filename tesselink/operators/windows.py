@@ -8,7 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REC, ENT = Window.partitionBy("rec_id"), Window.partitionBy("s1_id")
+
+def rec():
+    return Window.partitionBy("rec_id")
+
+
+def ent():
+    return Window.partitionBy("s1_id")
 
 
 def _rank(over, score: str, tie: str) -> Column:
@@ -18,34 +24,34 @@ def _rank(over, score: str, tie: str) -> Column:
 def context(pairs: DataFrame, p: str = "p") -> DataFrame:
     """c_rec_n, c_s1_n, c_rec_rank, c_rec_gap, c_s1_rank, c_s1_psum."""
     return pairs.withColumns({
-        "c_rec_n": F.count("*").over(REC), "c_s1_n": F.count("*").over(ENT), "c_rec_rank": _rank(REC, p, "s1_id"), "c_rec_gap": F.max(p).over(REC) - F.col(p),
-        "c_s1_rank": _rank(ENT, p, "rec_id"), "c_s1_psum": F.sum(p).over(ENT)})
+        "c_rec_n": F.count("*").over(rec()), "c_s1_n": F.count("*").over(ent()), "c_rec_rank": _rank(rec(), p, "s1_id"), "c_rec_gap": F.max(p).over(rec()) - F.col(p),
+        "c_s1_rank": _rank(ent(), p, "rec_id"), "c_s1_psum": F.sum(p).over(ent())})
 
 
 def margin(pairs: DataFrame, score: str, name: str) -> DataFrame:
     """Of the best of a record: its lead on the second (0 if none); of others: their distance to the best, negative."""
-    ranked = pairs.withColumn("__rk", _rank(REC, score, "s1_id"))
-    second = F.max(F.when(F.col("__rk") == 2, F.col(score))).over(REC)
-    best = F.max(score).over(REC)
+    ranked = pairs.withColumn("__rk", _rank(rec(), score, "s1_id"))
+    second = F.max(F.when(F.col("__rk") == 2, F.col(score))).over(rec())
+    best = F.max(score).over(rec())
     return ranked.withColumn(name, F.when(F.col("__rk") == 1, F.col(score) - F.coalesce(second, F.lit(0.0))).otherwise(F.col(score) - best)).drop("__rk")
 
 
 def strict_margin(pairs: DataFrame, score: str, prefix: str, absent: float = -20.0) -> DataFrame:
     """``prefix``_gap to the record's best, _rank, and _margin over the best value strictly below it (``absent`` if none)."""
-    best = pairs.withColumn("__m", F.max(score).over(REC))
-    lower = F.coalesce(F.max(F.when(F.col(score) < F.col("__m"), F.col(score))).over(REC), F.lit(absent))
-    return best.withColumns({f"{prefix}_gap": F.col("__m") - F.col(score), f"{prefix}_rank": _rank(REC, score, "s1_id"), f"{prefix}_margin": F.col(score) - lower}).drop("__m")
+    best = pairs.withColumn("__m", F.max(score).over(rec()))
+    lower = F.coalesce(F.max(F.when(F.col(score) < F.col("__m"), F.col(score))).over(rec()), F.lit(absent))
+    return best.withColumns({f"{prefix}_gap": F.col("__m") - F.col(score), f"{prefix}_rank": _rank(rec(), score, "s1_id"), f"{prefix}_margin": F.col(score) - lower}).drop("__m")
 
 
 def group_features(pairs: DataFrame, p: str = "p") -> DataFrame:
     """The nine numeric group features; ``sib_id`` is the entity's best record other than the pair's own, if any."""
     x = pairs.withColumns({
-        "g_rec_max": F.max(p).over(REC), "g_rec_rank": _rank(REC, p, "s1_id"), "g_rec_sum": F.sum(p).over(REC), "g_s1_rank": _rank(ENT, p, "rec_id"), "g_s1_sum": F.sum(p).over(ENT),
-        "g_s1_n50": F.sum((F.col(p) > 0.5).cast("int")).over(ENT), "g_s1_max": F.max(p).over(ENT)})
+        "g_rec_max": F.max(p).over(rec()), "g_rec_rank": _rank(rec(), p, "s1_id"), "g_rec_sum": F.sum(p).over(rec()), "g_s1_rank": _rank(ent(), p, "rec_id"), "g_s1_sum": F.sum(p).over(ent()),
+        "g_s1_n50": F.sum((F.col(p) > 0.5).cast("int")).over(ent()), "g_s1_max": F.max(p).over(ent())})
     at = lambda rank, of, value, k: F.max(F.when(F.col(rank) == k, value)).over(of)
-    other = F.coalesce(F.when(F.col("g_rec_rank") == 1, at("g_rec_rank", REC, F.col(p), 2)).otherwise(F.col("g_rec_max")), F.lit(0.0))
+    other = F.coalesce(F.when(F.col("g_rec_rank") == 1, at("g_rec_rank", rec(), F.col(p), 2)).otherwise(F.col("g_rec_max")), F.lit(0.0))
     sib = F.struct(F.col(p).alias("p"), F.col("rec_id").alias("id"))
-    sibling = F.when(F.col("g_s1_rank") == 1, at("g_s1_rank", ENT, sib, 2)).otherwise(at("g_s1_rank", ENT, sib, 1))
+    sibling = F.when(F.col("g_s1_rank") == 1, at("g_s1_rank", ent(), sib, 2)).otherwise(at("g_s1_rank", ent(), sib, 1))
     return x.withColumns({"g_rec_other": other, "__sib": sibling}).withColumns({
         "g_rec_margin": F.col(p) - F.col("g_rec_other"), "g_sib_p": F.coalesce(F.col("__sib.p"), F.lit(0.0)), "sib_id": F.col("__sib.id")}).drop("__sib")
 
@@ -55,7 +61,7 @@ def twin_features(pairs: DataFrame, keys: DataFrame, p: str = "p", least: float
 
     ``keys``: (rec_id, key).  A record is assigned to its best entity if that has at least ``least``.
     """
-    best = pairs.withColumn("__rk", _rank(REC, p, "s1_id")).where((F.col("__rk") == 1) & (F.col(p) >= least)).select("rec_id", F.col("s1_id").alias("to"))
+    best = pairs.withColumn("__rk", _rank(rec(), p, "s1_id")).where((F.col("__rk") == 1) & (F.col(p) >= least)).select("rec_id", F.col("s1_id").alias("to"))
     n = keys.groupBy("key").agg(F.count("*").alias("n"))
     assigned = keys.join(best, "rec_id")
     any_ = assigned.groupBy("key").agg(F.count("*").alias("any"))
@@ -69,5 +75,5 @@ def twin_features(pairs: DataFrame, keys: DataFrame, p: str = "p", least: float
 def shift_ranks(pairs: DataFrame, deleted: DataFrame, rank: str = "rk") -> DataFrame:
     """Pairs without those of ``deleted`` entities, ranks less by the deleted ones above them."""
     marked = pairs.join(deleted.select("s1_id", F.lit(1).alias("__gone")), "s1_id", "left")
-    above = F.sum(F.coalesce("__gone", F.lit(0))).over(REC.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
+    above = F.sum(F.coalesce("__gone", F.lit(0))).over(rec().orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn(rank, (F.col(rank) - above).cast("int")).where("__gone is null").select(*pairs.columns)

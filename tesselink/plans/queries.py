@@ -71,7 +71,7 @@ _HITS = """hits AS (SELECT rec_id, s1_id, 'n' AS "view", row_number() OVER (PART
  coalesce(min(rk) FILTER ("view"='a'), 999) rk_a FROM hits WHERE rk <= 2 GROUP BY rec_id, s1_id""")
 def retrieval_union_views(spark, sf_dir):
     p = fx.scored_pairs(spark, sf_dir).select("rec_id", "s1_id", F.round("p", 6).alias("cos_n"), F.round(1 - F.col("p"), 6).alias("cos_a"), "p")
-    view = lambda name, *order: p.withColumns({"view": F.lit(name), "rk": F.row_number().over(windows.REC.orderBy(*order))}).where("rk <= 2")
+    view = lambda name, *order: p.withColumns({"view": F.lit(name), "rk": F.row_number().over(windows.rec().orderBy(*order))}).where("rk <= 2")
     hits = view("n", F.desc("p"), "s1_id").unionByName(view("a", "p", "s1_id")).unionByName(view("c", "s1_id"))
     return retrieval.union_of_views(hits).withColumns({f"rk_{v}": F.col(f"rk_{v}").cast("long") for v in "cna"})
 
@@ -128,9 +128,6 @@ def twin_features(spark, sf_dir):
     return windows.twin_features(fx.scored_pairs(spark, sf_dir).select("rec_id", "s1_id", "p"), keys).drop("p")
 
 
-_N = "regexp_extract({}, '([1-9][0-9]*|0)$')"
-
-
 @query(f"""WITH {PAIRS}, h AS (SELECT rec_id, s1_id, coalesce(nullif(ltrim(regexp_extract(s1_name, '([0-9]+)', 1), '0'), ''), '0') a, coalesce(nullif(ltrim(regexp_extract(rec_name, '([0-9]+)', 1), '0'), ''), '0') b FROM pairs)
  SELECT rec_id, s1_id, a hn1, b hn2, CASE WHEN a = b THEN 0 WHEN suffix(a, b) OR suffix(b, a) THEN 1 WHEN prefix(a, b) OR prefix(b, a) THEN 2 WHEN levenshtein(a, b) = 1 AND length(a) <> length(b) THEN 3 WHEN levenshtein(a, b) = 1 THEN 4
  WHEN abs(a::BIGINT - b::BIGINT) <= 20 THEN 5 ELSE 6 END rel, a = b OR (length(a) >= 2 AND length(b) >= 2 AND (suffix(a, b) OR suffix(b, a))) OR (length(a) = length(b) AND length(a) >= 3 AND levenshtein(a, b) <= 1) near FROM h""")
@@ -285,7 +282,7 @@ def levenshtein_names(spark, sf_dir):
 
 @query(f"""WITH {PAIRS}, r AS (SELECT *, {_RK} FROM pairs), d AS (SELECT rec_id, s1_id, rr, s1_id % 5 = 0 gone FROM r), x AS (SELECT *, sum(CASE WHEN gone THEN 1 ELSE 0 END) OVER (PARTITION BY rec_id ORDER BY rr) a FROM d) SELECT rec_id, s1_id, CAST(rr - a AS BIGINT) rk FROM x WHERE NOT gone""")
 def shift_ranks(spark, sf_dir):
-    p = fx.scored_pairs(spark, sf_dir).select("rec_id", "s1_id", F.row_number().over(windows.REC.orderBy(F.desc("p"), "s1_id")).alias("rk"))
+    p = fx.scored_pairs(spark, sf_dir).select("rec_id", "s1_id", F.row_number().over(windows.rec().orderBy(F.desc("p"), "s1_id")).alias("rk"))
     return windows.shift_ranks(p, fx.entities(spark, sf_dir).where("s1_id % 5 = 0")).withColumn("rk", F.col("rk").cast("long"))
 
 
