@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 #: The splitting pattern of byte-level BPE (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 1 << 19
+#: Pieces in each of the two generations of the table of known pieces.
+KEPT = 1 << 17
 _STEP = 1 << 16
 
 
@@ -74,6 +75,7 @@ class Codec:
         self._shorter: dict[int, int] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         sizes = np.array([len(t) for t in self.token], np.int64)
         self._offset = np.concatenate([[0], np.cumsum(sizes)])
         self._bytes = np.frombuffer(b"".join(self.token), np.uint8)
@@ -119,7 +121,7 @@ class Codec:
                     i += 1
                 else:
                     j += 1
-            if len(self._fits) >= 4 * KEPT:
+            if len(self._fits) >= 2 * KEPT:
                 self._fits.clear()
             self._fits[a, b] = found
         return found
@@ -170,18 +172,21 @@ class Codec:
         return data[0] == k
 
     def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece by the table; when a generation is full, pieces that come again move on to the next."""
         if (ids := self._known.get(piece)) is None:
-            ids = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
+            ids = self._older.get(piece)
+            if ids is None:
+                ids = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
             if len(piece) <= 64:
                 if len(self._known) >= KEPT:
-                    self._known.clear()
+                    self._older, self._known = self._known, {}
                 self._known[piece] = ids
         return ids
 
     def _plain(self, text: str, out: list[int]) -> None:
-        known = self._known
+        known, piece, add = self._known, self._piece, out.extend
         for m in self._pieces.findall(text):
-            out.extend(known.get(m) or self._piece(m))
+            add(known.get(m) or piece(m))
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
