@@ -51,12 +51,13 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.withColumns({"__tokens": words(F.col(text_col)), "__lines": lines})
     common = sorted({w for x in COMMON.values() for w in x})
+    longest = max(len(w.encode()) for w in common)
     rows = rows.withColumns({
         "n_words": F.size("__tokens").cast("long"),
         "word_chars": F.length(F.array_join("__tokens", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "__words": F.filter(F.transform("__tokens", F.lower), lambda w: w.isin(common)),
+        "__words": F.filter(F.transform(F.filter("__tokens", lambda w: F.octet_length(w) <= longest), lambda w: F.lower(w)), lambda w: w.isin(common)),
         "__h": F.transform("__tokens", lambda w: F.xxhash64(w)),
     }).drop("__tokens", "__lines")
     for apart in (1, 2, 4):
@@ -109,8 +110,9 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
     """``docs`` without the text, with the base counts, base_failed, char_distance, word_distance and kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     own = [c for c in docs.columns if c not in (text_col, *names)]
-    base = base_counts(docs.select(*own, text_col), text_col).select(
-        *own, *names[:5], F.col(lang_col).alias("__lang"), _others(class_counts(F.col(text_col))).alias("__chars"),
+    counted = base_counts(docs.select(*own, text_col), text_col).withColumn("__counts", class_counts(F.col(text_col)))
+    base = counted.select(  # __counts is named more than once, so it stays a column and is worked out once
+        *own, *names[:5], F.col(lang_col).alias("__lang"), _others(F.col("__counts")).alias("__chars"),
         common_counts(F.col("__words"), F.col(lang_col)).alias("__common"))
     rows = durable(base)
     width, most = len(CLASSES) + 1, max(map(len, COMMON.values()))
