@@ -323,8 +323,8 @@ def normalized_records(spark, sf_dir):
 def retrieval_three_views(spark, sf_dir):
     n = cut(pairs.normalized(fx.business_records(spark, sf_dir)))
     f = {"name": tx.name_features(F.col("n_core"), F.col("n_web"), F.col("n_skel")), "addr": tx.addr_features(F.col("a_comps"), F.col("a_state"))}
-    view = lambda k: retrieval.cosine(*(cut(retrieval.feature_counts(n.where(f"src {'<>' if s else '='} 1"), f[k])) for s in (1, 0)))
-    return rounded(retrieval.views_union(view("name"), view("addr"), 10), "cos_n", "cos_a")
+    view = lambda k: retrieval.weights(*(cut(retrieval.feature_counts(n.where(f"src {'<>' if s else '='} 1"), f[k])) for s in (1, 0)))
+    return rounded(retrieval.three_views(view("name"), view("addr"), 10), "cos_n", "cos_a")
 
 
 def _features(spark, sf_dir):
