@@ -48,14 +48,24 @@ def _counts(spark, sf_dir):
     return one("documents", "doc_id"), one("benchmark", "item_id")
 
 
-@query(f"""WITH {TFIDF}, c AS (SELECT q.id doc_id, d.id item_id, sum(q.w*d.w) c FROM w q JOIN w d ON q.f = d.f AND q.side = 'd' AND d.side = 'b' GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, item_id) rk FROM c) SELECT doc_id, item_id, round(c, 4) cos, rk FROM r WHERE rk <= 3""")
+_NEAREST = f"""WITH {TFIDF}, c AS (SELECT q.id doc_id, d.id item_id, sum(q.w*d.w) c FROM w q JOIN w d ON q.f = d.f AND q.side = 'd' AND d.side = 'b' GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, item_id) rk FROM c) SELECT doc_id, item_id, round(c, 4) cos, rk FROM r WHERE rk <= 3"""
+
+
+@query(_NEAREST)
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three benchmark passages nearest to each document."""
     found = retrieval.top_k(retrieval.cosine(*_counts(spark, sf_dir)), 3)
     return found.select(F.col("rec_id").alias("doc_id"), F.col("s1_id").alias("item_id"), F.round("cos", 4).alias("cos"), F.col("rk").cast("long"))
 
 
+@query(_NEAREST)
+def tfidf_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by the pruned join."""
+    found = retrieval.best(*map(cut, retrieval.weights(*_counts(spark, sf_dir))), 3)
+    return found.select(F.col("rec_id").alias("doc_id"), F.col("s1_id").alias("item_id"), F.round("cos", 4).alias("cos"), F.col("rk").cast("long"))
+
+
 @query("""WITH raw AS (SELECT p_brand block, p_partkey id, unnest(string_split(p_name, ' ')) feature FROM part), d AS (SELECT block, feature, count(DISTINCT id) df FROM raw GROUP BY ALL),
  n AS (SELECT block, count(DISTINCT id) n FROM raw GROUP BY block) SELECT block, feature, df, n, round(ln((1.0+n)/(1.0+df))+1, 6) idf FROM d JOIN n USING (block)""")
 def block_df_idf(spark, sf_dir):
