@@ -7,12 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, mixing, quality, secrets, sharding, simhash, spotsigs
+from . import bpe, chat, langid, licenses, mixing, oracles, quality, secrets, sharding, simhash, spotsigs
 from .common import table
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("TESSELINK_TOKENIZERS", "/opt/tokenizers")
 
+#: Places of the distances that a query shows.
+DIGITS = 6
+
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(TOKENIZERS, name)
@@ -51,7 +54,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.judge(docs).drop("lang")
+    return quality.judge(docs).drop("lang").withColumns({c: F.round(c, DIGITS) for c in ("char_distance", "word_distance")})
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +76,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_sharding, op4_chat, op5_spotsigs, op6_language, op7_quality, op8_secrets, op9_bpe, op10_licenses)}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op7_quality": oracles.quality_sql(DIGITS), "op8_secrets": oracles.secrets_sql(), "op10_licenses": oracles.licenses_sql()}
