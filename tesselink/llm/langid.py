@@ -34,7 +34,7 @@ _BLOCK = 1 << 18
 def _grams(text: str) -> Iterator[np.ndarray]:
     """Rows of the n-grams of a text without its non-letters, block by block; nothing if it has no letter."""
     clean = _OTHER.sub(" ", text.lower()).strip()
-    if not clean:
+    if not any(map(str.isalpha, clean)):  # what is left may be other numbers, such as superscripts
         return
     points = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     reach = max(ORDERS) - 1

@@ -49,3 +49,7 @@ def test_without_labels_and_empty(spark):
     model = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in langid.identify(docs, model).collect()} == {"und"}
     assert langid.identify(cases.empty(spark), langid.train(cases.empty(spark))).count() == 0
+
+
+def test_numbers_are_no_letters():
+    assert not list(langid._grams("x² + ½".replace("x", ""))) and not list(langid._grams("12 ² ½ Ⅷ _ !")) and list(langid._grams("x²"))
