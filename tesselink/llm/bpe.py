@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 from functools import lru_cache
 
 import ahocorasick
@@ -44,6 +46,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+def latin_pieces() -> re.Pattern:
+    """The splitting pattern for texts up to U+00FF, its classes spelt out, for the faster matcher."""
+    chars = [chr(k) for k in range(256)]
+    letter, number = ("".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == kind) for kind in "LN")
+    blank = "".join(re.escape(c) for c in chars if regex.match(r"\s", c))
+    spelt = PIECES.replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{letter}{number}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]")
+    return re.compile(spelt.replace(r"\s", f"[{blank}]").replace(r"\S", f"[^{blank}]"))
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -55,7 +66,7 @@ class Codec:
         self.token = [by_id.get(k, b"") for k in range(max(by_id) + 1)]
         self.special = {s: k for s, k in special.items()}
         self._special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self._pieces = regex.compile(PIECES)
+        self._pieces, self._latin = regex.compile(PIECES), latin_pieces()
         # merges: rank and result of each pair, and how each token was made
         self._merge, self._made = {}, {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -69,15 +80,16 @@ class Codec:
         for b, k in vocab.items():
             if len(b) == 1:
                 self._single[b[0]] = k
-            self._auto.add_word(b.decode("latin-1"), (k, len(b)))
+            else:
+                self._auto.add_word(b.decode("latin-1"), (k, len(b) - 1))
         self._auto.make_automaton()
         self._vocab = vocab
         self._shorter: dict[int, int] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        sizes = np.array([len(t) for t in self.token], np.int64)
-        self._offset = np.concatenate([[0], np.cumsum(sizes)])
+        self._size = [len(t) for t in self.token]
+        self._offset = np.concatenate([[0], np.cumsum(np.array(self._size, np.int64))])
         self._bytes = np.frombuffer(b"".join(self.token), np.uint8)
 
     def _next_shorter(self, k: int) -> int:
@@ -130,27 +142,29 @@ class Codec:
         """Ids of the bytes of one piece."""
         if (whole := self._vocab.get(data)) is not None and self._own(whole):
             return [whole]
-        n = len(data)
+        n, size, fits, shorter = len(data), self._size, self._fits, self._shorter
         longest = [self._single[b] for b in data]
-        size = [1] * n
-        for end, (k, length) in self._auto.iter(data.decode("latin-1")):
-            at = end - length + 1
-            if length > size[at]:
-                longest[at], size[at] = k, length
+        if n > 1 and len(self._auto):
+            for end, (k, back) in self._auto.iter(data.decode("latin-1")):  # ends ascend: the last match of a start is the longest
+                longest[end - back] = k
         open_ = bytearray(b"\x01") * (n + 1)  # positions not yet found to be dead ends
-        ids, at, k = [], 0, longest[0] if n else -1
+        ids, at, last, k = [], 0, -1, longest[0] if n else -1
         while at < n:
-            end = at + len(self.token[k])
-            if open_[end] and (not ids or self.compatible(ids[-1], k)):
-                ids.append(k)
-                at = end
-                k = longest[at] if at < n else -1
-                continue
-            k = self._next_shorter(k)
+            end = at + size[k]
+            if open_[end]:
+                fit = True if last < 0 else fits.get((last, k))
+                if self.compatible(last, k) if fit is None else fit:
+                    ids.append(k)
+                    last, at = k, end
+                    if at < n:
+                        k = longest[at]
+                    continue
+            k = shorter[k] if k in shorter else self._next_shorter(k)
             while k < 0:
                 open_[at] = 0
                 k = ids.pop()
-                at -= len(self.token[k])
+                last = ids[-1] if ids else -1
+                at -= size[k]
                 k = self._next_shorter(k)
         return ids
 
@@ -185,7 +199,12 @@ class Codec:
 
     def _plain(self, text: str, out: list[int]) -> None:
         known, piece, add = self._known, self._piece, out.extend
-        for m in self._pieces.findall(text):
+        try:
+            text.encode("latin-1")
+            found = self._latin.findall(text)
+        except UnicodeEncodeError:
+            found = self._pieces.findall(text)
+        for m in found:
             add(known.get(m) or piece(m))
 
     def encode(self, text: str | None) -> list[int]:

@@ -26,6 +26,13 @@ def test_any_text(pair, text):
     assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x104), max_size=40))
+def test_latin_text(pair, text):
+    mine, library = pair
+    assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_strings(pair):
     mine, library = pair
     rng = random.Random(7)
