@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import licenses, quality, secrets
+from . import chat, licenses, quality, secrets
 from .common import WORD
 from .wordlists import COMMON
 
@@ -26,6 +26,28 @@ def _either_case(pattern: str) -> str:
     return head + "(?:" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in inner) + ")" + tail
 
 
+def chat_sql(said: str, budget: int, history: int = 2) -> str:
+    """What a window repeats follows from the turns before; only where windows end is found turn by turn."""
+    assert history == 2
+    escaped = lambda c: rf"length({c}) + len(regexp_extract_all({c}, '<\\*\|'))"
+    lag = lambda c, n: f"CASE WHEN i > {n} AND NOT (sys AND i = {n + 1}) THEN lag({c}, {n}) OVER w END"
+    return rf"""WITH RECURSIVE c AS (SELECT conv_id::BIGINT conv_id, turn::BIGINT turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', {_text(said)}), (-1, 1, 'assistant', {_text(said)})),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) i, len(regexp_extract_all(text, {_text(WORD)})) + {chat.MARKERS} tok,
+  {len(chat.START) + 1 + len(chat.END)} + {escaped("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")} + {escaped('text')} len FROM c),
+ h AS (SELECT conv_id, role = 'system' sys, CASE WHEN role = 'system' THEN tok ELSE 0 END st, CASE WHEN role = 'system' THEN len ELSE 0 END sl FROM o WHERE i = 1),
+ l AS (SELECT o.*, st, sl, {lag('tok', 1)} t1, {lag('len', 1)} l1, {lag('tok', 2)} t2, {lag('len', 2)} l2 FROM o JOIN h ON o.conv_id IS NOT DISTINCT FROM h.conv_id WINDOW w AS (PARTITION BY o.conv_id ORDER BY i)),
+ k AS (SELECT conv_id, i, tok, len, CASE WHEN t1 + t2 <= {budget} - tok - st THEN t1 + t2 WHEN t1 <= {budget} - tok - st THEN t1 ELSE 0 END + st kt,
+  CASE WHEN t1 + t2 <= {budget} - tok - st THEN l1 + l2 WHEN t1 <= {budget} - tok - st THEN l1 ELSE 0 END + sl kl FROM l),
+ r AS (SELECT conv_id, i, tok prefix, len total, 1 n FROM k WHERE i = 1 UNION ALL
+  SELECT k.conv_id, k.i, CASE WHEN prefix + tok > {budget} THEN kt ELSE prefix END + tok, total + len + CASE WHEN prefix + tok > {budget} THEN kl ELSE 0 END, n + CASE WHEN prefix + tok > {budget} THEN 1 ELSE 0 END
+  FROM r JOIN k ON k.conv_id IS NOT DISTINCT FROM r.conv_id AND k.i = r.i + 1),
+ z AS (SELECT conv_id, max(total)::BIGINT formatted_chars, max(n)::BIGINT n_windows FROM r GROUP BY conv_id),
+ s AS (SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) loss_sha256 FROM o GROUP BY conv_id)
+ SELECT s.*, formatted_chars, n_windows FROM s JOIN z ON s.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
 def secrets_sql() -> str:
     """Starts are the sums of the gaps and matches before, which splitting at the pattern and extracting it give."""
     rules = [(k, r, _text(_either_case(r.pattern) if "(?i:" in r.pattern else r.pattern)) for k, r in enumerate(secrets.RULES)]
