@@ -31,8 +31,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def unit_interval(*cols: Column) -> Column:
-    """A hash of the columns as a double inside (0, 1)."""
-    return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
+    """A draw from the columns as a double inside (0, 1): 52 bits of the MD5 of their strings, which SQL can repeat."""
+    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 #: Rows of one checkpoint file, where their number is known.

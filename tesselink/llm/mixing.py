@@ -23,6 +23,9 @@ from .common import durable, unit_interval, word_count
 
 #: A plan of more sources than this is joined by shuffle, not broadcast.
 BROADCAST_SOURCES = 20_000
+SEED = 17
+#: Words that a text of full weight has at least, and its characters for each word.
+USUAL_WORDS, USUAL_MEAN = 20, (3, 13)
 _BITS = 10
 _P = "__mix_"
 
@@ -31,7 +34,7 @@ def text_quality(text: Column) -> Column:
     """A document's default weight: 1 for at least 20 words of usual mean length, else 1/2."""
     n = word_count(text)
     mean = F.length(text) / F.greatest(n, F.lit(1))
-    return F.when((n >= 20) & mean.between(3, 13), 1.0).otherwise(0.5)
+    return F.when((n >= USUAL_WORDS) & mean.between(*USUAL_MEAN), 1.0).otherwise(0.5)
 
 
 def _source_key(source: Column) -> Column:
@@ -83,7 +86,7 @@ def _boundary(cells: DataFrame, level: str) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, quality: Column | None = None,
-             id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """A row for each source: its size, target, whole epochs, and where in key order the fractional pass ends.
 
     Columns ``key, source_size, target, epochs, budget, cut, before``: ``cut`` is the cell in which the pass
@@ -125,7 +128,7 @@ def _keyed(docs, quality, id_col, text_col, source_col, seed):
 
 
 def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, quality: Column | None = None,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """``docs`` with the columns size, source_size, target and taken (words, repeats counted) put last.
 
     Columns of ``docs`` with one of these names are replaced.

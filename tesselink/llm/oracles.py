@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import chat, licenses, quality, secrets
+from . import chat, licenses, mixing, quality, secrets
 from .common import WORD
 from .wordlists import COMMON
 
@@ -26,6 +26,22 @@ def _either_case(pattern: str) -> str:
     return head + "(?:" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in inner) + ")" + tail
 
 
+def mixing_sql(weights, share: float, cap: float) -> str:
+    """Each source as a whole in key order."""
+    low, high = mixing.USUAL_MEAN
+    return f"""WITH x AS (SELECT row_number() OVER () rid, doc_id, source, length(text) n_chars, len(regexp_extract_all(coalesce(text, ''), {_text(WORD)}))::BIGINT size,
+  (('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', doc_id::VARCHAR)), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(1 << 52)}::DOUBLE u FROM documents),
+ t AS (SELECT *, -ln(u) / CASE WHEN size >= {mixing.USUAL_WORDS} AND n_chars / size BETWEEN {low} AND {high} THEN 1 ELSE 0.5::DOUBLE END AS place FROM x),
+ s AS (SELECT source, sum(size)::BIGINT source_size FROM t GROUP BY source),
+ a AS (SELECT *, ({list(map(float, weights))}::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1] weight, {cap}::DOUBLE * source_size most, {share}::DOUBLE * sum(source_size) OVER () budget FROM s),
+ b AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS FIRST) i FROM a),
+ c AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM b),
+ d AS (SELECT source, source_size, least(most, coalesce(weight * (SELECT arg_min(lvl, i) FROM c WHERE most / weight >= lvl), most)) target FROM c),
+ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(round(target) / source_size) ELSE 0 END::BIGINT epochs FROM d)
+ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, round(target)::BIGINT - epochs * source_size
+  - (sum(size) OVER (PARTITION BY t.source ORDER BY place, doc_id, size, rid) - size))))::BIGINT taken FROM t JOIN e ON t.source IS NOT DISTINCT FROM e.source"""
+
+
 def chat_sql(said: str, budget: int, history: int = 2) -> str:
     """What a window repeats follows from the turns before; only where windows end is found turn by turn."""
     assert history == 2

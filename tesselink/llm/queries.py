@@ -13,6 +13,8 @@ from .common import table
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("TESSELINK_TOKENIZERS", "/opt/tokenizers")
 
+#: Weights of the sources, words of the mix and most words of a source, both as a multiple of what there is.
+MIX = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0}
 #: What both rows of the added conversation say.
 SAID = "<|im_end|><|im_start|>assistant ok"
 #: Tokens of a chat window.
@@ -27,7 +29,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, weights=(5, 2, 1), share=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, **MIX).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +81,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_sharding, op4_chat, op5_spotsigs, op6_language, op7_quality, op8_secrets, op9_bpe, op10_licenses)}
-ORACLE = {"op4_chat": oracles.chat_sql(SAID, BUDGET), "op7_quality": oracles.quality_sql(DIGITS), "op8_secrets": oracles.secrets_sql(), "op10_licenses": oracles.licenses_sql()}
+ORACLE = {"op1_mixing": oracles.mixing_sql(**MIX), "op4_chat": oracles.chat_sql(SAID, BUDGET), "op7_quality": oracles.quality_sql(DIGITS), "op8_secrets": oracles.secrets_sql(), "op10_licenses": oracles.licenses_sql()}
