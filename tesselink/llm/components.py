@@ -8,18 +8,34 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def _large(links: DataFrame) -> DataFrame:
+#: A node with more than this many links, or than this share of all, is joined by broadcast: under 2 / share such nodes exist.
+HUB, HUB_SHARE = 64, 1000
+
+
+def _with_least(rows: DataFrame, links: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b) with ``m``, the smallest b of their a, and a table (__a, m) of all a.  ``links`` bounds a half of the rows.
+
+    A hub's rows stay where they are: hubs are few by their definition, so their least neighbours are broadcast.
+    """
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumnRenamed("a", "__a")
+    hub = F.col("n") > max(HUB, links // HUB_SHARE)
+    hubs = F.broadcast(least.where(hub).select("__a", "m"))
+    at = F.col("a") == F.col("__a")
+    others = rows.join(hubs.select("__a"), at, "left_anti").join(least.where(~hub).select("__a", "m"), at)
+    return rows.join(hubs, at).unionByName(others), least.select("__a", "m")
+
+
+def _large(links: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours point at the smallest of its neighbourhood."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("__a"), F.least("a", "m").alias("m"))
-    return both.join(least, F.col("a") == F.col("__a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    found, _ = _with_least(both, n)
+    return found.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours point at the smallest of them."""
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "__a")
-    rest = down.join(least, F.col("a") == F.col("__a")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    found, least = _with_least(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n)
+    rest = found.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(least.select(F.col("__a").alias("a"), F.col("m").alias("b")))
 
 
@@ -36,7 +52,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if new == mark or not new["n"]:
             break
         mark = new
-        now = durable(_small(_large(now)).distinct(), 2 * new["n"])
+        now = durable(_small(_large(now, new["n"]), new["n"]).distinct(), 2 * new["n"])
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
