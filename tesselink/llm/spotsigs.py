@@ -5,6 +5,10 @@ every start of a line, is an anchor; with the up to ``CHAIN`` = 3 content words
 anchor it makes a spot.  The fingerprint is the set of the spots' 32-bit hashes.  Line starts count as anchors
 so that texts without common words have a fingerprint too.
 
+``whole`` spots, those of the query, hold every word of the text: a common word is an anchor with punctuation or
+symbols around it too, the word after a full chain is an anchor of its own, and an anchor that no content word
+follows is a spot by itself.
+
 ``near_pairs`` joins sets of a likeness of at least a threshold: sets are partitioned by length, in ranges
 whose bounds grow by 1 / threshold, so that a set meets only its own and the next range; within a range two
 sets meet when they share one of the rarest spots of both (prefix filter), and the exact likeness decides.
@@ -28,14 +32,19 @@ _MARK = "\u0001"
 RANGES = 256
 
 
-def spots(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted array<int> of the distinct spot hashes."""
+def spots(text: Column, chain: int = CHAIN, whole: bool = False) -> Column:
+    """Sorted array<int> of the distinct spot hashes; ``whole``: each word is in one of the spots."""
     line = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D\x01]*\n[\x20\x09-\x0D\x01]*", "\n")
     line = F.regexp_replace(line, r"[\x20\x09\x0B-\x0D\x01]{2,}|[\x09\x0B-\x0D\x01]", " ")
-    marked = F.regexp_replace(line, f" (?=(?:{any_of(ANCHORS)})(?:[ \\n]|$))", _MARK)
+    around = r"[\p{P}\p{S}]*+" if whole else ""
+    marked = F.regexp_replace(F.trim(line) if whole else line, f" (?={around}(?:{any_of(ANCHORS)}){around}(?:[ \\n]|$))", _MARK)
     marked = F.concat(F.lit("^ "), F.replace(marked, F.lit("\n"), F.lit(_MARK + "^ ")))
-    spot = F.filter(F.split(marked, _MARK), lambda s: (F.instr(s, " ") > 0) & (s != "^ "))
-    hashed = F.transform(spot, lambda s: F.shiftright(F.xxhash64(F.substring_index(s, " ", chain + 1)), 32).cast("int"))
+    if whole:  # a match begins where a word does, so that long words are read once
+        marked = F.regexp_replace(marked, rf"(?<![^ \x01])([^ \x01]++(?: [^ \x01]++){{{chain}}}) ", "$1" + _MARK)
+        spot = F.filter(F.split(marked, _MARK), lambda s: (s != "") & (s != "^ "))
+    else:
+        spot = F.transform(F.filter(F.split(marked, _MARK), lambda s: (F.instr(s, " ") > 0) & (s != "^ ")), lambda s: F.substring_index(s, " ", chain + 1))
+    hashed = F.transform(spot, lambda s: F.shiftright(F.xxhash64(s), 32).cast("int"))
     return F.array_sort(F.array_distinct(hashed))
 
 
@@ -119,7 +128,7 @@ def edited_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     wanted = order.select(F.col("next_id").alias("id2"), F.col("next_h").alias("h2"), F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 3).cast("int").alias("k"))
     match = texts["doc_id"].eqNullSafe(wanted["id2"]) & (texts["h"] == wanted["h2"])
     heads = texts.join(wanted.hint("shuffle_hash"), match).select(
-        "for_id", "for_h", "k", F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"), spots(F.col("text")).alias("next_spots"))
+        "for_id", "for_h", "k", F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"), spots(F.col("text"), whole=True).alias("next_spots"))
     if repeated:
         heads = heads.dropDuplicates(["for_id", "for_h"])
     found = texts["doc_id"].eqNullSafe(heads["for_id"]) & (texts["h"] == heads["for_h"])
@@ -127,7 +136,7 @@ def edited_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     joined = texts.join(heads, found).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - F.col("k")), F.col("head")))
     signed = joined.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        spots(F.col("text")).alias("own"), spots(F.col("edited")).alias("changed"), "next_spots")
+        spots(F.col("text"), whole=True).alias("own"), spots(F.col("edited"), whole=True).alias("changed"), "next_spots")
     return signed.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_spots")).alias("near_next"))

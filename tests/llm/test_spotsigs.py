@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import string
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,43 @@ def test_spots(spark):
         assert len(got[a] & got[b]) == len(brute[a] & brute[b])
 
 
+def brute_whole(text):
+    """Strings of the whole spots, for texts of ASCII white space and punctuation."""
+    out = set()
+    for line in (text or "").lower().split("\n"):
+        words = ["^", *line.split()]
+        spot = []
+        for i, w in enumerate(words):
+            if len(spot) == spotsigs.CHAIN + 1 or i > 1 and w.strip(string.punctuation) in spotsigs.ANCHORS:
+                out.add(tuple(spot))
+                spot = []
+            spot.append(w)
+        if len(words) > 1:
+            out.add(tuple(spot))
+    return out
+
+
+def test_whole_spots_hold_every_word(spark):
+    rng = random.Random(11)
+    parts = ["THE!!", "(of)", "the,", "and", "stone", "river.", "xx", "|", "$$", "haus", "\n", " \t", "^"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts += [" ".join(f"w{i}" for i in range(n)) for n in (1, 3, 4, 5, 150)] + ["of of of", "the", " \n ", "", "a" * 300_000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", spotsigs.spots(F.col("text"), whole=True).alias("s")).collect()
+    brute = {k: brute_whole(t) for k, t in enumerate(texts)}
+    got = {r["k"]: set(r["s"]) for r in rows}
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in brute.items()}
+    for a, b in itertools.combinations(brute, 2):
+        assert len(got[a] & got[b]) == len(brute[a] & brute[b])
+
+
+def test_edits_show_in_texts_without_common_words(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(150)) for c in "xy"] + [" ".join(f"{c}{i} THE!!" for i in range(150)) for c in "vw"]
+    out = spotsigs.edited_neighbours(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(out) == 4
+    for r in out:
+        assert len(r["fingerprint"]) >= 8 * 38 and 0.3 < r["near_edited"] < 0.8
+
+
 def test_edited_neighbours(spark):
     rows = cases.rows()
     out = spotsigs.edited_neighbours(cases.frame(spark)).collect()
