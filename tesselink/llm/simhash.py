@@ -130,30 +130,33 @@ def links(prints: DataFrame, rows: int | None = None) -> DataFrame:
     return paired.unionByName(starred)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with fingerprint (16 hex digits) and component_id, the smallest id reachable."""
-    own = [c for c in docs.columns if c not in (text_col, "fingerprint", "component_id")]
+def _rooted(docs: DataFrame, own: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Columns ``own`` of each row with __fp, root (the smallest fingerprint of its component) and component_id."""
     rows = durable(docs.select(*own, fingerprint(F.col(text_col)).alias("__fp")))
     n = rows.count()
     prints = durable(rows.groupBy("__fp").agg(F.min(id_col).alias("__least")).withColumnRenamed("__fp", "fp"), n)
     roots = components(links(prints.select("fp"), n))
     of = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("__least").alias("component_id"))
-    named = of.join(least, "root").select(F.col("fp").alias("__of"), "component_id")
-    return rows.join(named, rows["__fp"] == named["__of"]).select(*own, hexed(F.col("__fp")).alias("fingerprint"), "component_id")
+    named = of.join(least, "root").select(F.col("fp").alias("__of"), F.col("root").alias("__root"), "component_id")
+    return rows.join(named, rows["__fp"] == named["__of"]).select(*own, "__fp", "__root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with fingerprint (16 hex digits) and component_id, the smallest id reachable."""
+    own = [c for c in docs.columns if c not in (text_col, "fingerprint", "component_id")]
+    return _rooted(docs, own, id_col, text_col).select(*own, hexed(F.col("__fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays: that of the smallest id; of rows that repeat an id in a component, one stays."""
-    found = durable(near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col))
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    kept_ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    repeated = kept_ids.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    if not repeated:
-        return kept
-    # An id may name several texts: decide by id and text, and keep one row of those that are alike.
-    mixed = docs.withColumn("__fp", hexed(fingerprint(F.col(text_col))))
-    chosen = kept_ids.select(F.col(id_col).alias("__id"), F.col("fingerprint").alias("__print")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__print"))
+    """Exactly one row of each component stays: that of the smallest id (null last), then of the smallest fingerprint."""
+    found = durable(_rooted(docs, [id_col], id_col, text_col).select(F.col(id_col).alias("__id"), "__fp", "__root"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__fp"))
+    chosen = durable(found.groupBy("__root").agg(first.alias("x")).select(F.col("x.__id").alias("__one"), F.col("x.__fp").alias("__print")))
+    ids = chosen.select("__one").distinct()
+    if found.join(ids, F.col("__id").eqNullSafe(F.col("__one")), "left_semi").count() == chosen.count():  # each id names one row
+        return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__one")), "left_semi")
+    # An id may name several texts: decide by id and fingerprint, and keep one row of those that are alike.
+    mixed = docs.withColumn("__fp", fingerprint(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__one")) & (F.col("__fp") == F.col("__print"))
     return mixed.join(chosen, same, "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp")

@@ -99,6 +99,19 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(distinct).collect()) == sorted(set(brute_components(rows)))
 
 
+def test_one_of_each_group_stays_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    copied = [(3, a), (7, a), (7, b), (None, a), (None, c), (None, c)]
+    plain = [(1, a), (2, b), (None, a), (None, b), (9, a)]
+    lone = [(1, a), (None, b), (5, a)]
+    for rows in (copied, plain, lone):
+        out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        want = {}
+        for doc, text in rows:
+            want[text] = min(want.get(text, doc), doc, key=lambda x: (x is None, x or 0))
+        assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(((d, t) for t, d in want.items()), key=str)
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
     assert simhash.drop_near_duplicates(cases.empty(spark)).count() == 0
