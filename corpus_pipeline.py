@@ -27,8 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, their secrets replaced and n_chars with them."""
-    return secrets.redact(docs, length_col="n_chars")
+    """All documents stay, their secrets, whole private keys among them, replaced and n_chars with them."""
+    return secrets.redact(docs, rules=secrets.WHOLE, length_col="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ result; a null id is joined like any value; further columns pass through except
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,14 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("forge", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
 )
+#: A private key from its header to its END line or, without one, through the lines of base64 that follow; repeats are
+#: bounded where the matcher recurses.
+_KEY = (
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:(?:[^-]++|-(?!----)){0,400}+-{5,}END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+    r"|(?:[\s\\]*+(?:Proc-Type|DEK-Info):[^\n]*+){0,9}+(?:[\s\\\"']*+[A-Za-z0-9+/=_]{16,}+){0,1000}+(?:\s*\n[A-Za-z0-9+/=_]{1,15}(?=\s*(?:\n|$)))?)"
+)
+#: ``RULES`` with whole private keys, for redaction.
+WHOLE = tuple(replace(r, pattern=_KEY, version=2) if r.kind == "pem" else r for r in RULES)
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
@@ -133,7 +141,10 @@ def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text",
            length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span (overlapping ones as one) replaced by ``mark``; ``length_col``, if given, follows."""
+    """``docs`` with every span (overlapping ones as one) replaced by ``mark``; ``length_col``, if given, follows.
+
+    Under ``RULES`` a private key loses its header only; ``WHOLE`` takes its body too.
+    """
     fresh = scan_blobs(docs, ledger, rules, id_col=id_col, text_col=text_col)
     hits = findings(fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "version", "spans")), rules)
     rows = docs.withColumn("__blob", blob(F.col(text_col))).join(hits.withColumnRenamed("spans", "__spans"), F.col("__blob") == F.col("found_blob"), "left")
