@@ -420,8 +420,9 @@ def _stage1(spark, sf_dir):
 
 @query()
 def gbt_stage1(spark, sf_dir):
-    x = _stage1(spark, sf_dir)
-    return rounded(models.GbtScorer(rounds=5, depth=3).fit(x.where("fold <> 0"), _GBT)(x.where("fold = 0"), "p1").select("rec_id", "s1_id", "y", "p1"), "p1")
+    x = cut(_stage1(spark, sf_dir))
+    scored, _ = models.CrossFit(models.GbtScorer(rounds=5, depth=3)).fit_transform(x, _GBT, "p1")
+    return rounded(scored.select("rec_id", "s1_id", "y", "p1"), "p1")
 
 
 @query()
@@ -438,5 +439,5 @@ def crossfit_stack(spark, sf_dir):
 def pair_scorer(spark, sf_dir):
     n = fx.business_records(spark, sf_dir).select("id", F.concat_ws(" | ", "name", "address").alias("t"))
     x = fx.business_pairs(spark, sf_dir).join(n.select(F.col("id").alias("rec_id"), F.col("t").alias("b")), "rec_id").join(n.select(F.col("id").alias("s1_id"), F.col("t").alias("a")), "s1_id")
-    scorer = models.PairScorer(rounds=60, most=4000).fit(x.where("fold <> 0").select("a", "b", "y"))
-    return rounded(scorer.transform(x.where("fold = 0"), "ce").select("rec_id", "s1_id", "y", "ce"), "ce")
+    scored, _ = models.CrossFit(models.TextScorer(rounds=60, most=4000)).fit_transform(cut(x), ["a", "b"], "ce")
+    return rounded(scored.select("rec_id", "s1_id", "y", "ce"), "ce")
