@@ -7,7 +7,7 @@ The join is exact and takes these filters.  Words are ordered by how many docume
 them, rarest first.  Prefix: a block that meets a template of m words has one of its m - need + 1 rarest ones
 (need = ceil(threshold * m)), so a document with none of those is left at once.  Length: a block of fewer than
 need distinct words is left.  Position: if the first template word found is at place i of its order, at most
-m - i can follow.  What stays is counted exactly.
+m - i can follow; as the prefix ends at place m - need, this leaves none out.  What stays is counted exactly.
 
 The templates are a fixed list, their words bound what is gathered from the corpus and sent to the executors.
 
