@@ -36,6 +36,22 @@ def unit_interval(*cols: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those named, in any case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def packed(own: list[str]) -> Column:
+    """The columns ``own`` as one struct, so that columns made along the way cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(None).cast("boolean").alias("none"))
+
+
+def unpacked(name: str, own: list[str]) -> list[Column]:
+    """The columns of the struct ``name`` that ``packed`` made."""
+    return [F.col(name).getField(c).alias(c) for c in own]
+
+
 #: Rows of one checkpoint file, where their number is known.
 FILE_ROWS = 250_000
 

@@ -2,57 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
 
+#: A node's links are dealt into so many parts, so that no task holds a hub; what a node gathers is a row for each part.
+PARTS = 32
 
-#: A node with more than this many links, or than this share of all, is joined by broadcast: under 2 / share such nodes exist.
-HUB, HUB_SHARE = 64, 1000
 
+def _with_least(rows: DataFrame) -> DataFrame:
+    """Rows (a, b) with ``m``, the smallest b of their a.
 
-def _with_least(rows: DataFrame, links: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (a, b) with ``m``, the smallest b of their a, and a table (__a, m) of all a.  ``links`` bounds a half of the rows.
-
-    A hub's rows stay where they are: hubs are few by their definition, so their least neighbours are broadcast.
+    The rows move once, by node and part; only a row for each of these moves on to its node and back.
     """
-    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumnRenamed("a", "__a")
-    hub = F.col("n") > max(HUB, links // HUB_SHARE)
-    hubs = F.broadcast(least.where(hub).select("__a", "m"))
-    at = F.col("a") == F.col("__a")
-    others = rows.join(hubs.select("__a"), at, "left_anti").join(least.where(~hub).select("__a", "m"), at)
-    return rows.join(hubs, at).unionByName(others), least.select("__a", "m")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS))).repartition("a", "part")
+    least = dealt.groupBy("a", "part").agg(F.min("b").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("a")))
+    return dealt.join(least, ["a", "part"]).select("a", "b", "m")
 
 
-def _large(links: DataFrame, n: int) -> DataFrame:
+def _large(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours point at the smallest of its neighbourhood."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found, _ = _with_least(both, n)
-    return found.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+
+
+def _small(links: DataFrame) -> DataFrame:
+    """A node (a, the larger end of its links) and its smaller neighbours point at the smallest of them."""
+    found = _with_least(links)
+    return found.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(found.select("a", F.col("m").alias("b")))
 
 
-def _small(links: DataFrame, n: int) -> DataFrame:
-    """A node and its smaller neighbours point at the smallest of them."""
-    found, least = _with_least(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n)
-    rest = found.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.unionByName(least.select(F.col("__a").alias("a"), F.col("m").alias("b")))
+def _settled(links: DataFrame) -> bool:
+    """Whether every node either points at one other or is only pointed at."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("out")))
+    of = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count("*").alias("n"))
+    return of.where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("n") > 1))).isEmpty()
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a and b), root being the smallest node reachable.
 
-    Each round is checkpointed; the rounds end when the links no longer change, which their count and the sum
-    of their hashes show.  Loops and repeated links are allowed, an empty table gives an empty result.
+    Nodes may be of any type with an order, structs too.  Each round is checkpointed; the rounds end when all that is
+    left are stars.  Loops and repeated links are allowed, an empty table gives an empty result.
     """
     now = durable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
     for _ in range(rounds):
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if new == mark or not new["n"]:
+        if _settled(now):
             break
-        mark = new
-        now = durable(_small(_large(now, new["n"]), new["n"]).distinct(), 2 * new["n"])
+        now = durable(_small(_large(now)).distinct())
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -3,24 +3,29 @@
 A fingerprint has a bit for each position in which over half of the shingles' hashes have it.  Two
 fingerprints within ``RADIUS`` = 2 bits are found without comparing all pairs:
 
-* The table holds each distinct fingerprint's Hamming distances to 48 references.  The references come in
-  pairs p and p ^ mask, one mask for each of three blocks of the 64 bits; the difference of a pair's two
-  distances depends on the bits of that block alone.  Two differing bits leave one of three blocks alike, so
-  that two linked fingerprints agree in all differences of at least one block: these are the cells.
-* Within a cell, a pair whose distances to any reference differ by more than 2 is discarded (triangle
-  inequality), and the Hamming distance of the others is verified.
-* A cell of more than ``CROWDED`` fingerprints is not paired.  Its members name the 65 values within one bit
-  of themselves; fingerprints within two bits share such a value, and at most 65 share any.  Each is linked to
-  the smallest there, which keeps the components exact with rows in proportion to the members.
+* The table holds each distinct fingerprint's Hamming distances to 96 references.  The references come in
+  pairs p and p ^ mask, one mask for each of six blocks of the 64 bits; the difference of a pair's two
+  distances depends on the bits of that block alone.  Two differing bits leave four of the six blocks alike,
+  so that two linked fingerprints agree in all differences of some four blocks: each of the 15 choices of
+  four blocks names a cell of 42 to 44 bits.
+* Of the pairs that meet in a cell, those whose distances to any of 16 references differ by more than 2 are
+  discarded (triangle inequality), and the Hamming distance of the others is verified.
+
+There is one way for cells of any size.  Only different fingerprints meet, copies count once, and those of one cell
+differ in two blocks alone, so that the pairs follow the links that there are.
+
+Nodes of the links are (id is null, least id, fingerprint), whose order makes the root of a component the row that
+stands for it.
 
 Defined cases: null or blank text has fingerprint 0, which links like any other; fewer than three words make
 one shingle; texts of any length are read in blocks; repeated rows stay and share a component; further columns
-pass through, but fingerprint and component_id are replaced; an empty table gives an empty result; null ids
-are ignored as component ids unless the whole component has no other.
+pass through, whatever their names, but fingerprint and component_id are replaced; an empty table gives an empty
+result; null ids are ignored as component ids unless the whole component has no other.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -30,13 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, others, packed, unpacked
 from .components import components
 
 WIDTH, SEED, RADIUS = 3, 42, 2
-CROWDED = 64
-_BLOCKS = ((0, 22), (22, 43), (43, 64))
+_BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
+#: Blocks that two linked fingerprints have alike.
+_ALIKE = len(_BLOCKS) - RADIUS
 _PAIRS = 8
+#: References whose distances decide whether a pair is discarded: eight to a packed long.
+_DECIDING = 16
+#: At most so many rows (an id and a hash) to drop are broadcast, else they are joined by shuffle.
+BROADCAST_ROWS = 200_000
 _STEP = 1 << 15
 
 
@@ -91,72 +101,82 @@ def _distance(x, y) -> Column:
 
 
 def pivot_table(prints: DataFrame) -> DataFrame:
-    """``prints`` (column fp) with ``far``, the distances to the references, and ``cells``, a value for each block."""
+    """``prints`` (column fp) with ``far``, its packed distances to the deciding references, and ``cells``."""
     fp = F.col("fp")
-    far = [_distance(fp, F.lit(x)).cast("tinyint") for _, p, q in REFERENCES for x in (p, q)]
-    table = prints.withColumn("far", F.array(*far))
-    def cell(k):
-        own = [i for i, (b, _, _) in enumerate(REFERENCES) if b == k]
+    distances = F.array(*[_distance(fp, F.lit(x)) for _, p, q in REFERENCES for x in (p, q)])
+    table = prints.withColumn("distances", distances)
+    at = lambda i: F.col("distances")[i]
+
+    def block(k):
         lo, hi = _BLOCKS[k]
         value = F.lit(k).cast("long")
-        for i in own:  # (difference + block width) / 2 is in 0..22
-            apart = (F.col("far")[2 * i].cast("int") - F.col("far")[2 * i + 1].cast("int") + (hi - lo)) / 2
-            value = value * 32 + apart.cast("long")
+        for i in [i for i, (b, _, _) in enumerate(REFERENCES) if b == k]:  # (difference + block width) / 2 is in 0..11
+            value = value * 16 + F.shiftright(at(2 * i) - at(2 * i + 1) + (hi - lo), 1)
         return value
-    return table.withColumn("cells", F.array(*[cell(k) for k in range(len(_BLOCKS))]))
 
+    step = len(REFERENCES) // _DECIDING
+    deciding = [2 * step * i for i in range(_DECIDING)]
+    pack = lambda own: sum((F.shiftleft(at(i).cast("long"), 8 * k) for k, i in enumerate(own)), F.lit(0).cast("long"))
+    table = table.withColumn("blocks", F.array(*[block(k) for k in range(len(_BLOCKS))])).withColumn("far", F.array(pack(deciding[:8]), pack(deciding[8:])))
+    cells = [F.xxhash64(F.lit(n), *[F.col("blocks")[k] for k in own]) for n, own in enumerate(itertools.combinations(range(len(_BLOCKS)), _ALIKE))]
+    return table.withColumn("cells", F.array(*cells)).drop("distances", "blocks")
 
-def links(prints: DataFrame, rows: int | None = None) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) that make the same components as all pairs within 2 bits.
 
-    ``rows``, if known: at most so many fingerprints.
-    """
-    cells = pivot_table(prints).select("fp", "far", F.explode("cells").alias("cell"))
-    sizes = durable(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), rows)
-    shared = cells.join(sizes, "cell")
-    few = shared.where(F.col("n") <= CROWDED).select("cell", "fp", "far")
-    other = few.select("cell", F.col("fp").alias("fp2"), F.col("far").alias("far2"))
-    near = F.forall(F.zip_with("far", "far2", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), lambda d: d <= RADIUS)
-    paired = (
-        few.join(other, "cell").where("fp < fp2").where(near)
-        .where(_distance(F.col("fp"), F.col("fp2")) <= RADIUS)
-        .select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
-    )
-    crowd = shared.where(F.col("n") > CROWDED).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
-    around = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
-    least = around.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("value", "a")
-    starred = around.join(least, "value").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-    return paired.unionByName(starred)
-
-
-def _rooted(docs: DataFrame, own: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Columns ``own`` of each row with __fp, root (the smallest fingerprint of its component) and component_id."""
-    rows = durable(docs.select(*own, fingerprint(F.col(text_col)).alias("__fp")))
-    n = rows.count()
-    prints = durable(rows.groupBy("__fp").agg(F.min(id_col).alias("__least")).withColumnRenamed("__fp", "fp"), n)
-    roots = components(links(prints.select("fp"), n))
-    of = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("__least").alias("component_id"))
-    named = of.join(least, "root").select(F.col("fp").alias("__of"), F.col("root").alias("__root"), "component_id")
-    return rows.join(named, rows["__fp"] == named["__of"]).select(*own, "__fp", "__root", "component_id")
+def _within(x: Column, y: Column) -> Column:
+    """Whether no packed distance of two long columns differs by more than the radius."""
+    byte = lambda v, k: F.shiftright(v, 8 * k).bitwiseAND(F.lit(0xFF))
+    return F.greatest(*[F.abs(byte(x, k) - byte(y, k)) for k in range(8)]) <= RADIUS
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """Pairs a < b of the distinct fingerprints (column fp) within 2 bits of each other; with a column ``node``, pairs of nodes."""
+    named = prints if "node" in prints.columns else prints.withColumn("node", F.col("fp"))
+    own = pivot_table(named).select("fp", "node", F.col("far")[0].alias("f0"), F.col("far")[1].alias("f1"), F.explode("cells").alias("cell"))
+    other = own.select("cell", *[F.col(c).alias(c + "_2") for c in ("fp", "node", "f0", "f1")])
+    met = own.join(other, "cell").where("fp < fp_2")
+    near = met.where(_within(F.col("f0"), F.col("f0_2")) & _within(F.col("f1"), F.col("f1_2"))).where(_distance(F.col("fp"), F.col("fp_2")) <= RADIUS)
+    return near.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+
+
+def _prints(rows: DataFrame) -> DataFrame:
+    """(fp, node) of the distinct fingerprints of ``rows`` (id, fp)."""
+    return rows.groupBy("fp").agg(F.min("id").alias("id")).select("fp", F.struct(F.col("id").isNull().alias("none"), "id", "fp").alias("node"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with fingerprint (16 hex digits) and component_id, the smallest id reachable."""
-    own = [c for c in docs.columns if c not in (text_col, "fingerprint", "component_id")]
-    return _rooted(docs, own, id_col, text_col).select(*own, hexed(F.col("__fp")).alias("fingerprint"), "component_id")
+    own = others(docs, text_col, "fingerprint", "component_id")
+    rows = durable(docs.select(packed(own).alias("own"), F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
+    prints = _prints(rows)
+    roots = components(links(prints)).select(F.col("node.fp").alias("of"), F.col("root.id").alias("root_id"))
+    joined = prints.join(roots, F.col("fp") == F.col("of"), "left")
+    named = durable(joined.select(F.col("fp").alias("of"), F.when(F.col("of").isNull(), F.col("node.id")).otherwise(F.col("root_id")).alias("component_id")))
+    found = rows.join(named, F.col("fp") == F.col("of"))
+    return found.select(*unpacked("own", own), hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exactly one row of each component stays: that of the smallest id (null last), then of the smallest fingerprint."""
-    found = durable(_rooted(docs, [id_col], id_col, text_col).select(F.col(id_col).alias("__id"), "__fp", "__root"))
-    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__fp"))
-    chosen = durable(found.groupBy("__root").agg(first.alias("x")).select(F.col("x.__id").alias("__one"), F.col("x.__fp").alias("__print")))
-    ids = chosen.select("__one").distinct()
-    if found.join(ids, F.col("__id").eqNullSafe(F.col("__one")), "left_semi").count() == chosen.count():  # each id names one row
-        return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__one")), "left_semi")
-    # An id may name several texts: decide by id and fingerprint, and keep one row of those that are alike.
-    mixed = docs.withColumn("__fp", fingerprint(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__one")) & (F.col("__fp") == F.col("__print"))
-    return mixed.join(chosen, same, "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp")
+    """Exactly one row of each component stays: that of the smallest id (null last), then of the smallest fingerprint.
+
+    A row is known by its id and a hash of its text; of rows alike in both any one stays.
+    """
+    text_hash = F.xxhash64(F.col(text_col))
+    rows = durable(docs.select(F.col(id_col).alias("id"), text_hash.alias("h"), fingerprint(F.col(text_col)).alias("fp")))
+    known = rows.groupBy("id", "h", "fp").agg(F.count("*").alias("n"))  # texts of one fingerprint may differ, so a row has a hash too
+    first = known.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
+    prints = first.select("fp", F.struct(F.col("first.none").alias("none"), F.col("first.id").alias("id"), "fp").alias("node"))
+    roots = components(links(prints))
+    lesser = roots.where(F.col("node") != F.col("root")).select(F.col("node.fp").alias("of"))
+    chosen = first.join(lesser, F.col("fp") == F.col("of"), "left_anti").select(F.col("first.id").alias("one"), F.col("first.h").alias("one_h"), F.col("fp").alias("one_fp"))
+    one = F.col("id").eqNullSafe(F.col("one")) & (F.col("h") == F.col("one_h")) & (F.col("fp") == F.col("one_fp"))
+    marked = durable(known.join(chosen, one, "left").select("id", "h", "n", F.col("one_h").isNotNull().alias("kept")))
+    out = marked.agg(F.sum((~F.col("kept")).cast("long")).alias("gone"), F.max(F.col("kept") & (F.col("n") > 1)).alias("again")).first()
+    row = packed(docs.columns)
+    keyed = docs.select(row.alias("row"), F.col(id_col).alias("row_id"), text_hash.alias("row_h"))
+    of = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_h") == F.col("h"))
+    gone = marked.where(~F.col("kept")).select("id", "h")
+    left = keyed.join(F.broadcast(gone) if (out["gone"] or 0) <= BROADCAST_ROWS else gone, of, "left_anti")
+    if out["again"]:  # some chosen rows are there more than once
+        more = marked.where(F.col("kept") & (F.col("n") > 1)).select("id", "h")
+        left = left.join(more, of, "left_anti").unionByName(left.join(more, of, "left_semi").dropDuplicates(["row_id", "row_h"]))
+    return left.select(*unpacked("row", docs.columns))

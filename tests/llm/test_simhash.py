@@ -62,27 +62,52 @@ def test_near_duplicates(spark):
     assert "size" in out[0]
 
 
-def test_links_are_whole_also_in_crowded_cells(spark, monkeypatch):
+def near(rng, centre, most):
+    for b in rng.sample(range(64), rng.randint(1, most)):
+        centre ^= 1 << b
+    return centre
+
+
+def grouped(prints, of):
+    groups = {}
+    for x, root in zip(prints, of):
+        groups.setdefault(root, set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_links_are_whole_also_in_crowded_cells(spark):
     rng = random.Random(9)
     prints = {rng.getrandbits(64) for _ in range(100)}
     for centre in list(prints)[:4]:
-        for _ in range(120):
-            x = centre
-            for b in rng.sample(range(64), rng.randint(1, 5)):
-                x ^= 1 << b
-            prints.add(x)
+        prints |= {near(rng, centre, 5) for _ in range(120)}
+    centre = rng.getrandbits(64)
+    prints |= {centre ^ rng.getrandbits(11) for _ in range(2000)}  # thousands in one cell: all but the lowest block is alike
     prints = sorted(prints)
     frame = spark.createDataFrame([(simhash._signed(x),) for x in prints], "fp long")
-    want = brute_components(list(zip(prints, prints)))
-    for most in (64, 3):
-        monkeypatch.setattr(simhash, "CROWDED", most)
-        found = {r["node"]: r["root"] for r in components(simhash.links(frame)).collect()}
-        groups, expected = {}, {}
-        for x, w in zip(prints, want):
-            s = simhash._signed(x)
-            groups.setdefault(found.get(s, s), set()).add(x)
-            expected.setdefault(w, set()).add(x)
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    found = {r["node"]: r["root"] for r in components(simhash.links(frame)).collect()}
+    assert grouped(prints, [found.get(simhash._signed(x), simhash._signed(x)) for x in prints]) == grouped(prints, brute_components(list(zip(prints, prints))))
+
+
+def test_every_link_is_found(spark):
+    rng = random.Random(10)
+    prints = {rng.getrandbits(64) for _ in range(30)}
+    prints = sorted(prints | {near(rng, x, 3) for x in prints for _ in range(8)})
+    frame = spark.createDataFrame([(simhash._signed(x),) for x in prints], "fp long")
+    want = {frozenset((a, b)) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2}
+    assert {frozenset((r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1)) for r in simhash.links(frame).collect()} == want
+
+
+def test_null_ids_and_clashing_names(spark):
+    t = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, t, "x", 1, 2, "f"), (None, t, "y", 3, 4, "g"), (2, t, "z", 5, 6, "h"), (None, "other", "u", 7, 8, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __of string, __fp long, fp long, Fingerprint string")
+    out = simhash.near_duplicates(docs)
+    assert out.columns == ["doc_id", "__of", "__fp", "fp", "fingerprint", "component_id"]
+    got = sorted(((r["__of"], r["__fp"], r["fp"], r["fingerprint"], r["component_id"]) for r in out.collect()), key=str)
+    assert got == [(o, a, b, f"{brute_print(x):016x}", None if x == "other" else 1) for _, x, o, a, b, _ in sorted(rows, key=lambda r: r[2])]
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect() if r["doc_id"]) == [rows[0]]
+    assert [tuple(r) for r in left.collect() if not r["doc_id"]] == [rows[3]]
 
 
 def test_components_of_a_chain_and_a_star(spark):
