@@ -3,14 +3,20 @@
 Every version of a document is named by the SHA-256 of its text, its blob.  The ledger holds the findings of each
 (blob, rule, rule version) that was ever scanned, also when there were none.  A scan drops the pairs that the
 ledger has, takes one row for each blob that is left, scans its text once by the rules due, and joins the
-findings back to all documents and versions with that blob.
+findings back to all documents and versions with that blob.  ``advance`` gives the ledger after a scan, ``report``
+the findings of a ledger; ``scan`` does both at once.
+
+Which rules are due is settled on ids and blobs alone.  Texts stay where they are as long as the rows that depart
+from the most common case (all rules due at first, none in a later run) are few enough to broadcast; beyond that
+they are joined by shuffle.  The same holds for the findings.
 
 Spans are code point offsets, end exclusive.  They come from the lengths of the matches and of the gaps that
 splitting at the same pattern leaves; their prefix sums are taken in blocks, so that time stays near linear.
 
 Defined cases: null text counts as empty; matches of a rule do not overlap and are leftmost; spans are ordered by
 start, then by the order of ``RULES``, then end; repeated rows each get the findings; an empty table gives an empty
-result; a null id is joined like any value; further columns pass through except those that a function adds.
+result; a null id is joined like any value; further columns pass through, whatever their names, except those that a
+function adds (blob and spans).
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable, others, packed, unpacked
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,6 +60,8 @@ BASE = ("assign", "access", "hex")
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
 _BLOCK = 256
+#: Rows (an id and a blob, or a blob and its spans; spans count as rows) that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def _add(values: Column) -> Column:
@@ -96,41 +106,84 @@ def blob(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ledger rows (``LEDGER``) of the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks."""
-    paths = docs.select(F.col(id_col).alias("path"), blob(F.col(text_col)).alias("blob"))
-    one = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    every = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
+def _due(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(path, blob, due) of the distinct rows of ``paths``: a bit for each rule that is due at this row.
+
+    The smallest path of a blob stands for it; nothing is due at the others.
+    """
+    one = paths.groupBy("blob").agg(F.min("path").alias("first"))
     if ledger is None:
-        due = one.withColumn("due", F.array(*[F.lit(r.kind) for r in rules]))
+        due = one.withColumn("due", F.lit((1 << len(rules)) - 1))
     else:
-        pairs = one.select("blob", "path", F.explode(every).alias("r")).select("blob", "path", "r.rule", "r.version")
-        due = pairs.join(ledger.select("blob", "rule", "version").distinct(), ["blob", "rule", "version"], "left_anti").groupBy("blob").agg(F.first("path").alias("path"), F.collect_set("rule").alias("due"))
-    due = due.select(F.col("blob").alias("due_blob"), F.col("path").alias("due_path"), "due")
+        seen = ledger.groupBy(F.col("blob").alias("of")).agg(F.collect_set(F.struct("rule", "version")).alias("seen"))  # as many as there are rule versions
+        had = lambda r: F.coalesce(F.array_contains("seen", F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"))), F.lit(False))
+        bits = [F.when(had(r), 0).otherwise(1 << k) for k, r in enumerate(rules)]
+        due = one.join(seen, F.col("blob") == F.col("of"), "left").select("blob", "first", sum(bits[1:], bits[0]).alias("due"))
+    due = due.withColumnRenamed("blob", "one")
+    at = (F.col("blob") == F.col("one")) & F.col("path").eqNullSafe(F.col("first"))
+    return paths.distinct().join(due, at, "left").select("path", "blob", F.coalesce("due", F.lit(0)).alias("due"))
+
+
+def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Ledger rows (``LEDGER``) of the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks."""
+    paths = durable(docs.select(F.col(id_col).alias("path"), blob(F.col(text_col)).alias("blob")))
+    due = durable(_due(paths, ledger, rules))
+    cases = sorted(due.groupBy("due").count().collect(), key=lambda r: (-r["count"], r["due"]))  # at most one for each set of rules
+    usual, rest = (cases[0]["due"] if cases else 0), sum(r["count"] for r in cases[1:])
     texts = docs.select(F.col(id_col).alias("path"), F.coalesce(text_col, F.lit("")).alias("text"), blob(F.col(text_col)).alias("blob"))
-    unseen = texts.join(due.hint("shuffle_hash"), (texts["blob"] == due["due_blob"]) & texts["path"].eqNullSafe(due["due_path"]))
+    other = due.select(F.col("path").alias("due_path"), F.col("blob").alias("due_blob"), "due")
+    at = (F.col("blob") == F.col("due_blob")) & F.col("path").eqNullSafe(F.col("due_path"))
+    if rest <= BROADCAST_ROWS:
+        known = texts.join(F.broadcast(other.where(F.col("due") != usual)), at, "left") if rest else texts.withColumn("due", F.lit(None).cast("int"))
+        unseen = known.withColumn("due", F.coalesce("due", F.lit(usual)))
+    else:
+        unseen = texts.join(other.where("due <> 0"), at)
+    unseen = unseen.where("due <> 0")
     for k, r in enumerate(rules):
-        unseen = unseen.withColumn(f"__s{k}", F.when(F.array_contains("due", r.kind), _spans("text", k, r)))
-    found = unseen.select("blob", F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(f"__s{k}").alias("spans")) for k, r in enumerate(rules)]).alias("all"))
+        unseen = unseen.withColumn(f"s{k}", F.when(F.col("due").bitwiseAND(1 << k) != 0, _spans("text", k, r)))
+    found = unseen.select("blob", F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(f"s{k}").alias("spans")) for k, r in enumerate(rules)]).alias("all"))
     # Rows that repeat id and text were scanned together; a pair is written once.
     return found.select("blob", F.explode("all").alias("x")).select("blob", "x.rule", "x.version", "x.spans").where("spans is not null").distinct()
 
 
+def advance(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger after a scan of ``docs``, cut from its lineage; to be kept for the next one."""
+    fresh = scan_blobs(docs, ledger, rules, id_col=id_col, text_col=text_col)
+    return durable(fresh if ledger is None else ledger.select("blob", "rule", "version", "spans").unionByName(fresh))
+
+
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(found_blob, spans) of the blobs with findings under the given rule versions, spans in order."""
     valid = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    hits = ledger.where((F.size("spans") > 0) & (valid[F.col("rule")] == F.col("version")))
-    return hits.groupBy(F.col("blob").alias("found_blob")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    number = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule")).cast("int") - 1
+    hits = ledger.where((F.size("spans") > 0) & (valid[F.col("rule")] == F.col("version"))).withColumn("number", number)
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("number").alias("kind"), s["end"].alias("end")))
+    return hits.groupBy(F.col("blob").alias("found_blob")).agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("spans"))
+
+
+def _with_findings(rows: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` (a column blob) with the spans of their blobs, null where there are none."""
+    hits = durable(findings(ledger, rules))
+    size = hits.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("spans")).first()
+    few = size["n"] + (size["spans"] or 0) <= BROADCAST_ROWS
+    return rows.join(F.broadcast(hits) if few else hits, F.col("blob") == F.col("found_blob"), "left").drop("found_blob")
+
+
+def report(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with ``blob`` and the ``spans`` that the ledger has for it (empty where it has none)."""
+    own = others(docs, text_col, "blob", "spans")
+    rows = docs.select(packed(own).alias("own"), blob(F.col(text_col)).alias("blob"))
+    return _with_findings(rows, ledger, rules).select(*unpacked("own", own), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``blob`` and ``spans`` (empty where nothing was found)."""
+    """``docs`` without the text, with ``blob`` and ``spans`` (empty where nothing was found); what ``ledger`` has is not scanned again."""
+    return report(docs, _known(docs, ledger, rules, id_col, text_col), rules, text_col=text_col)
+
+
+def _known(docs, ledger, rules, id_col, text_col):
     fresh = scan_blobs(docs, ledger, rules, id_col=id_col, text_col=text_col)
-    known = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "version", "spans"))
-    own = [c for c in docs.columns if c not in (text_col, "blob", "spans")]
-    paths = docs.select(*own, blob(F.col(text_col)).alias("blob"))
-    hits = findings(known, rules)
-    return paths.join(hits, paths["blob"] == hits["found_blob"], "left").select(*own, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "version", "spans"))
 
 
 def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -145,15 +198,14 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
 
     Under ``RULES`` a private key loses its header only; ``WHOLE`` takes its body too.
     """
-    fresh = scan_blobs(docs, ledger, rules, id_col=id_col, text_col=text_col)
-    hits = findings(fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rule", "version", "spans")), rules)
-    rows = docs.withColumn("__blob", blob(F.col(text_col))).join(hits.withColumnRenamed("spans", "__spans"), F.col("__blob") == F.col("found_blob"), "left")
-    text = F.col(text_col)
+    rows = docs.select(packed(docs.columns).alias("row"), F.col(text_col).alias("text"), blob(F.col(text_col)).alias("blob"))
+    rows = _with_findings(rows, _known(docs, ledger, rules, id_col, text_col), rules)
+    text = F.col("text")
     step = lambda a, s: F.struct(
         F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
         F.greatest(a["at"], s["end"]).alias("at"))
-    clean = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    hit = F.col("__spans").isNotNull()
-    rows = rows.withColumn("__text", F.when(hit, clean).otherwise(text))
-    named = {text_col: F.col("__text")} | ({length_col: F.when(hit, F.length("__text").cast("long")).otherwise(F.col(length_col))} if length_col else {})
-    return rows.select(*[named.get(c, F.col(c)).alias(c) for c in docs.columns])
+    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    hit = F.col("spans").isNotNull()
+    rows = rows.withColumn("clean", F.when(hit, clean).otherwise(text))
+    named = {text_col: F.col("clean")} | ({length_col: F.when(hit, F.length("clean").cast("long")).otherwise(F.col("row").getField(length_col))} if length_col else {})
+    return rows.select(*[named.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
