@@ -14,7 +14,8 @@ a table of bounded size.
 Decoding copies the tokens' bytes from one buffer by an offset table; invalid UTF-8 becomes U+FFFD.
 
 Defined cases: null text is the empty text, without ids; the special token's string in a text is that token; texts of
-any length are encoded whole; repeated rows are encoded alike; further columns pass through except those added.
+any length are encoded whole; repeated rows are encoded alike; ids are not looked at and may be null; an empty table
+gives an empty result; further columns pass through, whatever their names, except those added.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import others
+
 #: The splitting pattern of byte-level BPE (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces in each of the two generations of the table of known pieces.
@@ -42,8 +45,8 @@ _STEP = 1 << 16
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: printable ones for themselves, then U+0100 onwards."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
 def latin_pieces() -> re.Pattern:
@@ -238,7 +241,7 @@ def codec(path: str) -> Codec:
 
 def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with ``ids``."""
-    own = [c for c in docs.columns if c not in (text_col, "ids")]
+    own = others(docs, text_col, "ids")
     rows = docs.select(*own, text_col)
     schema = rows.select(*own, F.array().cast("array<int>").alias("ids")).schema
 
@@ -253,7 +256,7 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text") -> D
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
     """``coded`` with ``text`` for ``ids``."""
-    own = [c for c in coded.columns if c not in ("ids", "text")]
+    own = others(coded, "ids", "text")
     rows = coded.select(*own, "ids")
     schema = rows.select(*own, F.lit("").alias("text")).schema
 
@@ -272,7 +275,7 @@ def round_trip(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFra
     Ids and decoded texts stay in the worker; they are what ``encode_documents`` and ``decode_documents`` return.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    own = [c for c in docs.columns if c not in (text_col, *names)]
+    own = others(docs, text_col, *names)
     rows = docs.select(*own, text_col)
     schema = rows.select(*own, F.lit(0).cast("long").alias(names[0]), *[F.lit("").alias(x) for x in names[1:]]).schema
 

@@ -7,7 +7,8 @@ n-grams and sums them by document; long texts are read in blocks, so memory does
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; rows of null label are not learned;
 without any labelled row all is ``und``; ties go to the first language in order; repeated rows are scored alike;
-empty tables give empty results; further columns pass through except lang_pred and score.
+empty tables give empty results; rows of null id are learned and scored like others (``held_out`` is false for
+them); further columns pass through, whatever their names, except lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import others, packed, unpacked
+
 ORDERS, BITS = (1, 2, 3), 14
 ROWS = len(ORDERS) << BITS
 PER_LANGUAGE = 2000
@@ -132,8 +135,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     udf = F.pandas_udf(predict, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__found", udf(F.col(text_col))).select(*own, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
+    own = others(docs, "lang_pred", "score")
+    found = docs.select(packed(own).alias("own"), udf(F.col(text_col)).alias("found"))
+    return found.select(*unpacked("own", own), "found.lang_pred", "found.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,8 +12,8 @@ m - i can follow; as the prefix ends at place m - need, this leaves none out.  W
 The templates are a fixed list, their words bound what is gathered from the corpus and sent to the executors.
 
 Defined cases: null text is empty; texts are read whole; a document has the labels of its phrases and templates,
-each once; repeated rows are scanned alike; an empty table gives an empty result; further columns pass through
-except those added.
+each once; repeated rows are scanned alike; ids are not looked at and may be null; an empty table gives an empty
+result; further columns pass through, whatever their names, except those added.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import others
+
 #: Phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Openings of well-known licenses, label and text.
@@ -127,7 +129,7 @@ def scan(docs: DataFrame, *, phrases=PHRASES, templates=TEMPLATES, threshold: fl
     """``docs`` without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     index = docs.sparkSession.sparkContext.broadcast(Index.build(word_frequency(docs, templates, text_col=text_col), templates, threshold))
     added = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
-    own = [c for c in docs.columns if c not in (text_col, *added)]
+    own = others(docs, text_col, *added)
     rows = docs.select(*own, text_col)
     schema = rows.select(*own, *[F.lit(None).cast(kind).alias(c) for c, kind in added.items()]).schema
 

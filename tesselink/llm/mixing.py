@@ -9,7 +9,8 @@ find the one cell where the budget ends, and only that cell is sorted.
 
 Defined cases: null or blank text has size 0 and gives 0 words; a null source is a source of its own, after
 all others; a source without words has target 0; equal keys are ordered by id, size and source text hash;
-repeated rows count as rows of their own; an empty table gives an empty result; further columns pass through.
+repeated rows count as rows of their own; null ids share a draw; an empty table gives an empty result; further
+columns pass through, whatever their names, except that those it adds are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, unit_interval, word_count
+from .common import durable, others, packed, unit_interval, unpacked, word_count
 
 #: A plan of more sources than this is joined by shuffle, not broadcast.
 BROADCAST_SOURCES = 20_000
@@ -138,8 +139,13 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
     plan = plan.select(*[F.col(c).alias(_P + ("plan_" if c == "key" else "") + c) for c in plan.columns])
     if plan.count() <= BROADCAST_SOURCES:  # measured, not assumed
         plan = F.broadcast(plan)
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    own = others(docs, "size", "source_size", "target", "taken")
     col = lambda name: F.col(_P + name)
+    docs = docs.select(
+        packed(own).alias(_P + "own"), *[F.col(c).alias(_P + x) for c, x in ((id_col, "id"), (text_col, "text"), (source_col, "source"))],
+        *([] if quality is None else [quality.alias(_P + "quality")]))
+    args |= {} if quality is None else {"quality": col("quality")}
+    args |= dict(id_col=_P + "id", text_col=_P + "text", source_col=_P + "source")
     rows = (
         _keyed(docs, **args).join(plan, col("key") == col("plan_key"))
         .withColumn(_P + "cell", _cell(col("order")))
@@ -147,11 +153,11 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
     )
     at = col("cell") == col("cut")
     clear = rows.where(~at).withColumn(_P + "extra", F.when(col("cell") < col("cut"), col("size")).otherwise(0))
-    order = Window.partitionBy(_P + "key").orderBy(_P + "order", id_col, _P + "size", F.xxhash64(text_col))
+    order = Window.partitionBy(_P + "key").orderBy(_P + "order", _P + "id", _P + "size", F.xxhash64(_P + "text"))
     ahead = col("before") + F.coalesce(F.sum(_P + "size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = rows.where(at).withColumn(_P + "extra", F.greatest(F.lit(0), F.least(col("size"), col("budget") - ahead)))
     return clear.unionByName(edge).select(
-        *own, col("size").alias("size"), col("source_size").alias("source_size"), col("target").alias("target"),
+        *unpacked(_P + "own", own), col("size").alias("size"), col("source_size").alias("source_size"), col("target").alias("target"),
         (col("epochs") * col("size") + col("extra")).cast("long").alias("taken"),
     )
 
@@ -170,3 +176,14 @@ def emit_mixed(mixed: DataFrame, columns: Sequence[str], text_col: str = "text",
     out = rows.withColumn(_P + "text", F.when(short, cut).otherwise(F.col(text_col)))
     named = {text_col: F.col(_P + "text")} | ({length_col: F.when(short, F.length(_P + "text").cast("long")).otherwise(F.col(length_col))} if length_col else {})
     return out.select(*[named.get(c, F.col(c)).alias(c) for c in columns])
+
+
+def mixed_rows(docs: DataFrame, *, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               length_col: str | None = None, **args) -> DataFrame:
+    """The rows of the mix of ``docs``, all columns as they were but the text of a document that is cut, and its length."""
+    named = [F.col(c).alias(x) for c, x in ((id_col, "id"), (text_col, "text"), (source_col, "source"), (length_col or id_col, "length"))]
+    rows = docs.select(packed(docs.columns).alias("row"), *named, *([] if quality is None else [quality.alias("quality")]))
+    mixed = mix(rows, quality=None if quality is None else F.col("quality"), id_col="id", text_col="text", source_col="source", **args)
+    out = emit_mixed(mixed, ["row", "text", "length"], length_col="length" if length_col else None)
+    own = {text_col: "text"} | ({length_col: "length"} if length_col else {})
+    return out.select(*[F.col(own[c]).alias(c) if c in own else F.col("row").getField(c).alias(c) for c in docs.columns])

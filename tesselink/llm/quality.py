@@ -10,7 +10,8 @@ the minimum length are not judged by a histogram.
 
 Defined cases: null text has no words and fails the base; a language without a word list is judged by
 character classes alone; a null language is a language of its own; a histogram without entries is not judged;
-further columns pass through, except that equal names are replaced; repeated rows are judged one by one.
+further columns pass through, whatever their names, except that those it adds are replaced; repeated rows are
+judged one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, words
+from .common import durable, others, packed, unpacked, words
 from .wordlists import COMMON
 
 WINDOW = 8
@@ -109,11 +110,11 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
           min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the text, with the base counts, base_failed, char_distance, word_distance and kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
-    own = [c for c in docs.columns if c not in (text_col, *names)]
-    counted = base_counts(docs.select(*own, text_col), text_col).withColumn("__counts", class_counts(F.col(text_col)))
+    own = others(docs, text_col, *names)
+    rows = docs.select(packed(own).alias("__own"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
+    counted = base_counts(rows, "__text").withColumn("__counts", class_counts(F.col("__text")))
     base = counted.select(  # __counts is named more than once, so it stays a column and is worked out once
-        *own, *names[:5], F.col(lang_col).alias("__lang"), _others(F.col("__counts")).alias("__chars"),
-        common_counts(F.col("__words"), F.col(lang_col)).alias("__common"))
+        "__own", *names[:5], "__lang", _others(F.col("__counts")).alias("__chars"), common_counts(F.col("__words"), F.col("__lang")).alias("__common"))
     rows = durable(base)
     width, most = len(CLASSES) + 1, max(map(len, COMMON.values()))
     summed = lambda name, n: F.array(*[F.coalesce(F.sum(F.get(F.col(name), F.lit(i))), F.lit(0)) for i in range(n)])
@@ -128,4 +129,4 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ma
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
         "char_distance": F.when(n_chars >= min_chars, js_distance(F.col("__chars"), F.col("__all_chars"))),
         "word_distance": F.when(F.col("n_words") >= min_words, js_distance(F.col("__common"), word_total)),
-    }).withColumn("kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)).select(*own, *names)
+    }).withColumn("kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= max_char) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)).select(*unpacked("__own", own), *names)

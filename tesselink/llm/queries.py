@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, licenses, mixing, oracles, quality, secrets, sharding, simhash, spotsigs
 from .common import table
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("TESSELINK_TOKENIZERS", "/opt/tokenizers")
-
 #: Weights of the sources, words of the mix and most words of a source, both as a multiple of what there is.
 MIX = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0}
 #: What both rows of the added conversation say.
@@ -24,7 +22,9 @@ DIGITS = 6
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Path of a public vocabulary file: in the folder that TESSELINK_TOKENIZERS names, else in the installed package."""
+    folder = os.environ.get("TESSELINK_TOKENIZERS")
+    return os.path.join(folder, name) if folder else str(public_tokenizers.path(name))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

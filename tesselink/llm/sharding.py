@@ -9,15 +9,18 @@ runs inside one SQL expression over it.  Slots inside a shard are gapless: a cel
 of a part of the cell (cells of many rows are dealt into about sqrt(rows) parts by id), plus the rank in it.
 
 Defined cases: null text counts as no bytes and as equal to the empty text; rows that are alike in all
-columns get different slots; an empty table gives an empty result; further columns pass through.
+columns get different slots; an empty table gives an empty result; null and repeated ids are dealt like others;
+further columns pass through, whatever their names, except those that are put last.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, others, packed, unpacked
 
 CELL_BITS = 16
 OVERHEAD = 16
@@ -47,7 +50,7 @@ def _reach(start: str, capacity: str) -> str:
 def minimax_cuts(cells: DataFrame, shards: int) -> tuple[int, list[int]]:
     """Of one row (``p``: prefix sums from 0, ``most``: the largest group): the capacity and each shard's last group."""
     spark = cells.sparkSession
-    view = "tesselink_cells"
+    view = f"tesselink_{uuid.uuid4().hex}"  # calls at the same time do not meet
     cells.createOrReplaceTempView(view)
     try:
         fill = f"aggregate(sequence(1, {shards}), 0, (at, k) -> {_reach('at', '(a.lo + a.hi) div 2')})"
@@ -61,42 +64,42 @@ def minimax_cuts(cells: DataFrame, shards: int) -> tuple[int, list[int]]:
 def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the text, and the columns size, text_crc32, law, shard, slot and grown_shard put last."""
     names = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    own = [c for c in docs.columns if c != text_col and c not in names]
+    own = others(docs, text_col, *names)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = durable(docs.select(
-        *own,
+        packed(own).alias("own"), F.col(id_col).alias("id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text), 64 - CELL_BITS).cast("int").alias("__cell"),
+        F.shiftrightunsigned(F.xxhash64(text), 64 - CELL_BITS).cast("int").alias("cell"),
     ))
     cells = durable(
-        rows.groupBy("__cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-        .withColumn("at", F.row_number().over(Window.orderBy("__cell")))
-        .withColumn("sum", F.sum("bytes").over(Window.orderBy("__cell")))
+        rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+        .withColumn("at", F.row_number().over(Window.orderBy("cell")))
+        .withColumn("sum", F.sum("bytes").over(Window.orderBy("cell")))
     )
-    packed = cells.agg(
+    prefix = cells.agg(
         F.concat(F.array(F.lit(0).cast("long")), F.transform(F.array_sort(F.collect_list(F.struct("at", "sum"))), lambda x: x["sum"])).alias("p"),
         F.coalesce(F.max("bytes"), F.lit(0)).alias("most"),
     )
-    _, ends = minimax_cuts(packed, shards)
+    _, ends = minimax_cuts(prefix, shards)
     parts = F.ceil(F.col("n") / F.greatest(F.lit(float(RANKED)), F.sqrt("n"))).cast("int")
-    by_shard = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    by_shard = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.withColumn("shard", sum((F.col("at") > e).cast("int") for e in ends[:-1]) if shards > 1 else F.lit(0)).select(
-        "__cell", "shard", parts.alias("__parts"), F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("__offset"))
-    dealt = rows.join(F.broadcast(placed), "__cell").withColumn(  # at most 2**CELL_BITS rows
-        "__part", F.when(F.col("__parts") > 1, F.pmod(F.xxhash64(F.lit(3), id_col), F.col("__parts"))).otherwise(0).cast("int"))
-    in_cell = Window.partitionBy("__cell").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        "cell", "shard", parts.alias("parts"), F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("offset"))
+    dealt = rows.join(F.broadcast(placed), "cell").withColumn(  # at most 2**CELL_BITS rows
+        "part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts"))).otherwise(0).cast("int"))
+    in_cell = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        dealt.where(F.col("__parts") > 1).groupBy("__cell", "__part").agg(F.count("*").alias("__n"))
-        .select("__cell", "__part", F.coalesce(F.sum("__n").over(in_cell), F.lit(0)).alias("__ahead"))
+        dealt.where(F.col("parts") > 1).groupBy("cell", "part").agg(F.count("*").alias("n"))
+        .select("cell", "part", F.coalesce(F.sum("n").over(in_cell), F.lit(0)).alias("ahead"))
     )
-    in_part = Window.partitionBy("__cell", "__part").orderBy(id_col, "size", "text_crc32")
+    in_part = Window.partitionBy("cell", "part").orderBy("id", "size", "text_crc32")
     return (
-        dealt.withColumn("__rank", F.row_number().over(in_part))
-        .join(offsets, ["__cell", "__part"], "left")
+        dealt.withColumn("rank", F.row_number().over(in_part))
+        .join(offsets, ["cell", "part"], "left")
         .select(
-            *own, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("__offset") + F.coalesce(F.col("__ahead"), F.lit(0)) + F.col("__rank") - 1).cast("long").alias("slot"),
+            *unpacked("own", own), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+            (F.col("offset") + F.coalesce(F.col("ahead"), F.lit(0)) + F.col("rank") - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
         )
     )

@@ -80,5 +80,16 @@ def test_emit(spark):
     assert all(any(t.startswith(r["text"]) for t in texts) for r in out)
 
 
+def test_mixed_rows_are_those_of_the_mix(spark):
+    docs = cases.frame(spark)
+    columns = [c for c in docs.columns if c != "size"]
+    plain = mixing.emit_mixed(mixing.mix(docs), columns, length_col="n_chars").collect()
+    rows = mixing.mixed_rows(docs, length_col="n_chars")
+    assert rows.columns == docs.columns
+    out = rows.collect()
+    assert all(r["size"] == "clash" for r in out)  # the input's own column of that name
+    assert sorted((tuple(r[c] for c in columns) for r in out), key=str) == sorted(map(tuple, plain), key=str)
+
+
 def test_empty(spark):
     assert mixing.mix(cases.empty(spark)).count() == 0
