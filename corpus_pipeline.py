@@ -3,6 +3,10 @@
 Language identification drops documents without a language, near-duplicates leave one of each group, secrets are
 replaced in the texts, sources are mixed to their target weights (a document taken twice is two rows, one cut at
 its source's budget keeps its first words), and the last stage encodes every text and digests the ids.
+
+Defined cases, for every stage: ids, texts, languages and sources may be null, and ids may repeat; texts of any length are
+read whole; an empty table gives an empty result with the same columns; further columns pass through all stages but the
+last, whatever their names.  What a stage does beyond that its docstring states.
 """
 
 from __future__ import annotations
@@ -11,33 +15,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselink.llm import bpe, langid, mixing, secrets, simhash
-from tesselink.llm.common import durable, table
+from tesselink.llm.common import durable, packed, table, unpacked
 from tesselink.llm.queries import vocabulary
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language stay; the model learns from all rows but the held-out quarter."""
-    model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "text", "lang"))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Documents that have a language stay; the model learns from all rows but the held-out quarter.
+
+    A null text and one without a letter have none; without any row to learn from no document has.  A null id is not
+    held out.  Repeated rows stay or go together.
+    """
+    known = docs.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    rows = docs.select(packed(docs.columns).alias("row"), "text")
+    found = langid.identify(rows, langid.train(known))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*unpacked("row", docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component stays."""
+    """One document of each component stays: that of the smallest id (null last).
+
+    Null and empty texts are alike; of repeated rows one stays.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, their secrets, whole private keys among them, replaced and n_chars with them."""
+    """All documents stay, their secrets, whole private keys among them, replaced and n_chars with them; a null text stays null."""
     return secrets.redact(docs, rules=secrets.WHOLE, length_col="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mix."""
-    return mixing.emit_mixed(mixing.mix(docs), docs.columns, length_col="n_chars")
+    """The rows of the mix: a document as often as it is taken, n_chars following a cut.
+
+    A null source is a source; texts without words are not taken; repeated rows are documents of their own.
+    """
+    return mixing.mixed_rows(docs, length_col="n_chars")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text."""
+    """doc_id, lang, source, and the token counts and digests of every text; a null text has no tokens."""
     return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary())
 
 
