@@ -101,31 +101,35 @@ def _distance(x, y) -> Column:
 
 
 def pivot_table(prints: DataFrame) -> DataFrame:
-    """``prints`` (column fp) with ``far``, its packed distances to the deciding references, and ``cells``."""
-    fp = F.col("fp")
-    distances = F.array(*[_distance(fp, F.lit(x)) for _, p, q in REFERENCES for x in (p, q)])
-    table = prints.withColumn("distances", distances)
-    at = lambda i: F.col("distances")[i]
-
-    def block(k):
-        lo, hi = _BLOCKS[k]
-        value = F.lit(k).cast("long")
-        for i in [i for i, (b, _, _) in enumerate(REFERENCES) if b == k]:  # (difference + block width) / 2 is in 0..11
-            value = value * 16 + F.shiftright(at(2 * i) - at(2 * i + 1) + (hi - lo), 1)
-        return value
-
-    step = len(REFERENCES) // _DECIDING
-    deciding = [2 * step * i for i in range(_DECIDING)]
-    pack = lambda own: sum((F.shiftleft(at(i).cast("long"), 8 * k) for k, i in enumerate(own)), F.lit(0).cast("long"))
-    table = table.withColumn("blocks", F.array(*[block(k) for k in range(len(_BLOCKS))])).withColumn("far", F.array(pack(deciding[:8]), pack(deciding[8:])))
-    cells = [F.xxhash64(F.lit(n), *[F.col("blocks")[k] for k in own]) for n, own in enumerate(itertools.combinations(range(len(_BLOCKS)), _ALIKE))]
-    return table.withColumn("cells", F.array(*cells)).drop("distances", "blocks")
+    """``prints`` (column fp) with ``far``, its packed distances to the deciding references, and ``cells``.
+
+    Written as loops over short arrays: as many columns would make the planner and the compiler costly.
+    """
+    references = F.array(*[F.lit(x) for _, p, q in REFERENCES for x in (p, q)])
+    widths = F.array(*[F.lit(hi - lo) for lo, hi in _BLOCKS])
+    choices = F.array(*[F.array(*map(F.lit, own)) for own in itertools.combinations(range(len(_BLOCKS)), _ALIKE)])
+    at = lambda name, i: F.get(F.col(name), i)
+
+    def block(k):  # (difference + block width) / 2 is in 0..11
+        step = lambda v, i: v * 16 + F.shiftright(at("distances", 2 * i) - at("distances", 2 * i + 1) + F.get(widths, k), 1)
+        return F.aggregate(F.sequence(k * _PAIRS, k * _PAIRS + (_PAIRS - 1)), k.cast("long"), step)
+
+    apart = 2 * len(REFERENCES) // _DECIDING
+    pack = lambda half: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda v, i: v * 256 + at("distances", (half * 8 + i) * apart))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(len(_BLOCKS) - 1)), block)
+    cells = lambda b: F.transform(choices, lambda own, n: F.xxhash64(n, F.transform(own, lambda k: F.get(b, k))))
+    return (
+        prints.withColumn("distances", F.transform(references, lambda x: _distance(F.col("fp"), x)))
+        .withColumn("far", F.transform(F.sequence(F.lit(0), F.lit(_DECIDING // 8 - 1)), pack))
+        .withColumn("cells", F.get(F.transform(F.array(blocks), cells), F.lit(0)))  # the blocks are worked out once
+        .drop("distances")
+    )
 
 
 def _within(x: Column, y: Column) -> Column:
     """Whether no packed distance of two long columns differs by more than the radius."""
-    byte = lambda v, k: F.shiftright(v, 8 * k).bitwiseAND(F.lit(0xFF))
-    return F.greatest(*[F.abs(byte(x, k) - byte(y, k)) for k in range(8)]) <= RADIUS
+    byte = lambda v, k: F.call_function("shiftright", v, 8 * k).bitwiseAND(F.lit(0xFF))
+    return F.forall(F.sequence(F.lit(0), F.lit(7)), lambda k: F.abs(byte(x, k) - byte(y, k)) <= RADIUS)
 
 
 def links(prints: DataFrame) -> DataFrame:
