@@ -3,7 +3,8 @@
 Training counts hashed n-grams of up to ``per_language`` documents of each language (a bounded sample by a hash
 of the id; their whole texts count) and of no other rows than those with a label.  The log-probability matrix
 has a fixed number of rows and is broadcast after its size is checked.  Scoring looks up the rows of a batch's
-n-grams and sums them by document; long texts are read in blocks, so memory does not follow their length.
+n-grams and sums them by document; long texts are read in blocks, so memory does not follow their length.  The
+counts that reach the driver are at most one for each language and row of the matrix; their size is checked as well.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; rows of null label are not learned;
 without any labelled row all is ``und``; ties go to the first language in order; repeated rows are scored alike;
@@ -29,6 +30,8 @@ ORDERS, BITS = (1, 2, 3), 14
 ROWS = len(ORDERS) << BITS
 PER_LANGUAGE = 2000
 MAX_LANGUAGES = 2048
+#: Bytes of a count (language, row, n) that is collected: more than those of the matrix and of a worker's counts.
+_COUNT_BYTES = 20
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _BLOCK = 1 << 18
@@ -109,7 +112,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """A model of the rows whose label is not null; at most about ``per_language`` of each language are read."""
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES or len(sizes) * ROWS * 4 > most_bytes:
+    if len(sizes) > MAX_LANGUAGES or len(sizes) * ROWS * _COUNT_BYTES > most_bytes:
         raise ValueError(f"{len(sizes)} languages: the matrix is too large to broadcast")
     if not sizes:
         return Model([], np.zeros((ROWS, 0), np.float32), np.zeros(0))

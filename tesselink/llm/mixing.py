@@ -4,8 +4,9 @@ Every document gets an exponential key ``-ln(U) / quality``; ascending keys are
 replacement.  A source's target is met by whole epochs first, then by its documents in key order until the
 prefix sum of their words reaches the rest of the budget; the document at the cut gives its first words only.
 
-No source is ever sorted as a whole.  Keys fall into 2**20 cells; two rounds of sums by 2**10 cells each
-find the one cell where the budget ends, and only that cell is sorted.
+No source is ever sorted as a whole.  The range of a source's keys, as measured, is cut into 2**10 cells, whose sums show
+the one in which the budget ends; that cell's own range is cut again, four times in all, whatever the weights
+are.  Only the last cell is sorted.
 
 Defined cases: null or blank text has size 0 and gives 0 words; a null source is a source of its own, after
 all others; a source without words has target 0; equal keys are ordered by id, size and source text hash;
@@ -27,7 +28,7 @@ BROADCAST_SOURCES = 20_000
 SEED = 17
 #: Words that a text of full weight has at least, and its characters for each word.
 USUAL_WORDS, USUAL_MEAN = 20, (3, 13)
-_BITS = 10
+CELLS, LEVELS = 1 << 10, 4
 _P = "__mix_"
 
 
@@ -42,12 +43,6 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source.cast("string")))
 
 
-def _cell(key: Column) -> Column:
-    """Cell of a key: its quantile under a weight of 1, in 2**20 steps."""
-    top = 1 << (2 * _BITS)
-    return F.least(F.lit(top - 1), F.floor((1 - F.exp(-key)) * top)).cast("int")
-
-
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """Targets by water-filling: ``share`` of all sizes by weight, no source above ``cap`` of its own size.
 
@@ -76,13 +71,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     )
 
 
-def _boundary(cells: DataFrame, level: str) -> DataFrame:
-    """Of (key, cell, words, budget, before): the cell of each key in which the budget ends, and what precedes it."""
-    w = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+def _boundary(narrow: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``bounds`` (key, budget, before, lo, hi: words ahead of the keys lo..hi, among which the budget ends) in finer steps.
+
+    A source whose budget ends exactly where its rows do, or is 0, has no bounds.
+    """
+    of = bounds.select(F.col("key").alias("of"), "budget", "before", "lo", "hi")
+    width = F.col("hi") - F.col("lo")
+    place = F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("order") - F.col("lo")) / width * CELLS))).otherwise(0)
+    inside = narrow.join(of, F.col("key") == F.col("of")).where(F.col("order").between(F.col("lo"), F.col("hi"))).withColumn("cell", place.cast("int"))
+    cells = inside.groupBy("key", "cell").agg(
+        F.sum("size").alias("words"), F.first("budget").alias("budget"), F.first("before").alias("before"), F.min("order").alias("lo"), F.max("order").alias("hi"))
+    ahead = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most CELLS rows of a source
     return (
-        cells.withColumn("start", F.col("before") + F.coalesce(F.sum("words").over(w), F.lit(0)))
-        .where((F.col("start") <= F.col("budget")) & (F.col("budget") < F.col("start") + F.col("words")))
-        .select("key", F.col("cell").alias(level), F.col("start").alias("before"))
+        cells.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+        .where((F.col("before") <= F.col("budget")) & (F.col("budget") < F.col("before") + F.col("words")))
+        .select("key", "budget", "before", "lo", "hi")
     )
 
 
@@ -90,32 +94,26 @@ def mix_plan(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: flo
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """A row for each source: its size, target, whole epochs, and where in key order the fractional pass ends.
 
-    Columns ``key, source_size, target, epochs, budget, cut, before``: ``cut`` is the cell in which the pass
-    ends and ``before`` the words of the cells ahead of it.
+    Columns ``key, source_size, target, epochs, budget, before, lo, hi``: the pass ends among the keys lo..hi (null:
+    takes nothing more), ``before`` are the words ahead of them.
     """
     narrow = durable(
         _keyed(docs, quality, id_col, text_col, source_col, seed).select(
-            F.col(_P + "key").alias("key"), F.col(source_col).alias("source"), F.col(_P + "size").alias("size"), _cell(F.col(_P + "order")).alias("cell"))
+            F.col(_P + "key").alias("key"), F.col(source_col).alias("source"), F.col(_P + "size").alias("size"), F.col(_P + "order").alias("order"))
     )
-    sizes = narrow.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
+    sizes = narrow.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.min("order").alias("lo"), F.max("order").alias("hi"))
     goal = F.round("target").cast("long")
+    targets = source_targets(sizes.drop("lo", "hi"), weights, share, cap).select("key", "source_size", "target")
     sources = durable(
-        source_targets(sizes, weights, share, cap)
-        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
+        targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("budget", goal - F.col("epochs") * F.col("source_size"))
+        .join(sizes.select("key", "lo", "hi"), "key")
     )
-    high = F.shiftright("cell", _BITS)
-    coarse = (
-        narrow.groupBy("key", high.alias("cell")).agg(F.sum("size").alias("words"))
-        .join(sources.select("key", "budget", F.lit(0).cast("long").alias("before")), "key")
-    )
-    first = _boundary(coarse, "high")
-    fine = (
-        narrow.withColumn("high", high).join(first.join(sources.select("key", "budget"), "key"), ["key", "high"])
-        .groupBy("key", "cell").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"), F.first("before").alias("before"))
-    )
-    second = _boundary(fine, "cut")
-    return durable(sources.drop("source").join(second, "key", "left"), sources.count())
+    bounds = sources.select("key", "budget", F.lit(0).cast("long").alias("before"), "lo", "hi")
+    few = sources.count() <= BROADCAST_SOURCES  # measured
+    for _ in range(LEVELS):
+        bounds = durable(_boundary(narrow, F.broadcast(bounds) if few else bounds))
+    return sources.drop("lo", "hi").join(bounds.select("key", "before", "lo", "hi"), "key", "left")
 
 
 def _keyed(docs, quality, id_col, text_col, source_col, seed):
@@ -135,7 +133,7 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
     Columns of ``docs`` with one of these names are replaced.
     """
     args = dict(quality=quality, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
-    plan = mix_plan(docs, weights=weights, share=share, cap=cap, **args)
+    plan = durable(mix_plan(docs, weights=weights, share=share, cap=cap, **args))
     plan = plan.select(*[F.col(c).alias(_P + ("plan_" if c == "key" else "") + c) for c in plan.columns])
     if plan.count() <= BROADCAST_SOURCES:  # measured, not assumed
         plan = F.broadcast(plan)
@@ -146,13 +144,9 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
         *([] if quality is None else [quality.alias(_P + "quality")]))
     args |= {} if quality is None else {"quality": col("quality")}
     args |= dict(id_col=_P + "id", text_col=_P + "text", source_col=_P + "source")
-    rows = (
-        _keyed(docs, **args).join(plan, col("key") == col("plan_key"))
-        .withColumn(_P + "cell", _cell(col("order")))
-        .withColumn(_P + "cut", F.coalesce(col("cut"), F.lit(-1)))
-    )
-    at = col("cell") == col("cut")
-    clear = rows.where(~at).withColumn(_P + "extra", F.when(col("cell") < col("cut"), col("size")).otherwise(0))
+    rows = _keyed(docs, **args).join(plan, col("key") == col("plan_key"))
+    at = F.coalesce(col("order").between(col("lo"), col("hi")), F.lit(False))
+    clear = rows.where(~at).withColumn(_P + "extra", F.when(col("order") < col("lo"), col("size")).otherwise(0))
     order = Window.partitionBy(_P + "key").orderBy(_P + "order", _P + "id", _P + "size", F.xxhash64(_P + "text"))
     ahead = col("before") + F.coalesce(F.sum(_P + "size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = rows.where(at).withColumn(_P + "extra", F.greatest(F.lit(0), F.least(col("size"), col("budget") - ahead)))

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -93,3 +95,18 @@ def test_mixed_rows_are_those_of_the_mix(spark):
 
 def test_empty(spark):
     assert mixing.mix(cases.empty(spark)).count() == 0
+
+
+def test_weights_of_any_size(spark):
+    """Weights far below 1 spread the keys over many orders; the budget ends in the middle of the light documents."""
+    rows = [(k, " ".join(["w"] * (1 + k % 7)), "en", "s", 0, "", "") for k in range(3000)]
+    weight = {k: 1.0 if k % 2 else 0.002 for k in range(3000)}
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    out = {r["doc_id"]: r for r in mixing.mix(docs, weights=(1,), share=0.75, quality=F.when(F.col("doc_id") % 2 == 1, 1.0).otherwise(0.002)).collect()}
+    u = {k: (int(hashlib.md5(f"{mixing.SEED}|{k}".encode()).hexdigest()[:13], 16) + 0.5) / float(1 << 52) for k in weight}
+    left = round(0.75 * sum(1 + k % 7 for k in weight))
+    for k in sorted(weight, key=lambda k: -math.log(u[k]) / weight[k]):
+        assert out[k]["taken"] == min(left, 1 + k % 7)
+        left -= out[k]["taken"]
+    plan = mixing.mix_plan(docs, weights=(1,), share=0.75, quality=F.when(F.col("doc_id") % 2 == 1, 1.0).otherwise(0.002)).first()
+    assert plan["hi"] - plan["lo"] < 1 and plan["lo"] > 20
