@@ -1,13 +1,16 @@
 """License scans: phrases, and an exact containment join of text blocks with license templates.
 
 Blocks are runs of ``BLOCK`` words that overlap by half, so that every passage of a template's length lies whole in
-one.  A block meets a template when at least a ``threshold`` share of the template's distinct words is in it.
+one.  Templates have at most half as many words; a license that is longer stands in the list in several passages.  A
+block meets a template when at least a ``threshold`` share of the template's distinct words is in it.
 
-The join is exact and takes these filters.  Words are ordered by how many documents of the whole table have
-them, rarest first.  Prefix: a block that meets a template of m words has one of its m - need + 1 rarest ones
-(need = ceil(threshold * m)), so a document with none of those is left at once.  Length: a block of fewer than
-need distinct words is left.  Position: if the first template word found is at place i of its order, at most
-m - i can follow; as the prefix ends at place m - need, this leaves none out.  What stays is counted exactly.
+The join is exact and takes these filters.  The words of all templates are ordered by how many documents of the whole
+table have them, rarest first; of a block only those words are kept, in that order.  Prefix: a block that meets a
+template of m words has one of its m - need + 1 rarest ones (need = ceil(threshold * m)), so a document with none of
+those is left at once.  Length: a block of fewer than need kept words is left.  Position: the words of a template
+before the first that the block has are missing, and the kept words of the block before that one are not the
+template's, so no more can meet than what follows there in either; if that is under need, the pair is left.  The
+same bound ends the count of the others as soon as what was met and what is left cannot reach need.
 
 The templates are a fixed list, their words bound what is gathered from the corpus and sent to the executors.
 
@@ -19,6 +22,7 @@ result; further columns pass through, whatever their names, except those added.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,13 +33,20 @@ from .common import others
 
 #: Phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Openings of well-known licenses, label and text.
+#: Passages of well-known licenses, label and text; the MIT and the two-clause BSD license are there as a whole.
 TEMPLATES = (
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("apache-text", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("gpl-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mit-notice", "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-warranty", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("bsd-liability", "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE"),
+    ("isc-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS"),
+    ("zlib-text", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("cc-by-text", "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"),
 )
 THRESHOLD = 0.8
@@ -70,43 +81,56 @@ def word_frequency(docs: DataFrame, templates=TEMPLATES, *, text_col: str = "tex
 
 @dataclass(frozen=True)
 class Index:
-    """What executors need: templates in frequency order, and the templates of each prefix word."""
+    """What executors need: the rank of each template word, templates as ranks in order, and the templates of each prefix rank."""
 
     labels: tuple[str, ...]
-    ordered: tuple[tuple[bytes, ...], ...]
+    rank: dict[bytes, int]
+    ordered: tuple[tuple[int, ...], ...]
     need: tuple[int, ...]
-    prefix: dict[bytes, tuple[tuple[int, int], ...]]
+    prefix: dict[int, tuple[int, ...]]
 
     @classmethod
     def build(cls, frequency: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> Index:
         sets = _template_words(templates)
-        ordered = tuple(tuple(sorted(w, key=lambda x: (frequency.get(x, 0), x))) for _, w in sets)
+        every = sorted(frozenset().union(*(w for _, w in sets)), key=lambda x: (frequency.get(x, 0), x))
+        rank = {w: k for k, w in enumerate(every)}
+        ordered = tuple(tuple(sorted(rank[x] for x in w)) for _, w in sets)
         need = tuple(math.ceil(threshold * len(w) - 1e-9) for w in ordered)
-        prefix: dict[bytes, list] = {}
+        prefix: dict[int, list] = {}
         for t, w in enumerate(ordered):
-            for i, x in enumerate(w[: len(w) - need[t] + 1]):
-                prefix.setdefault(x, []).append((t, i))
-        return cls(tuple(label for label, _ in sets), ordered, need, {w: tuple(x) for w, x in prefix.items()})
+            for x in w[: len(w) - need[t] + 1]:
+                prefix.setdefault(x, []).append(t)
+        return cls(tuple(label for label, _ in sets), rank, ordered, need, {w: tuple(x) for w, x in prefix.items()})
+
+    def met(self, t: int, kept: list[int], there: frozenset[int]) -> int:
+        """Words of template ``t`` in a block whose template words have the ranks ``kept``, in order; 0 if fewer than needed."""
+        own, need = self.ordered[t], self.need[t]
+        if len(kept) < need:  # length
+            return 0
+        first = next((i for i, x in enumerate(own) if x in there), len(own))
+        if first == len(own) or min(len(own) - first, len(kept) - bisect_left(kept, own[first])) < need:  # position
+            return 0
+        found = 0
+        for i in range(first, len(own)):
+            found += own[i] in there
+            if found + len(own) - 1 - i < need:
+                return 0
+        return found
 
     def matches(self, words: list[bytes]) -> dict[str, float]:
         """Label and best containment of every template that some block meets."""
         found: dict[str, float] = {}
-        rare = self.prefix.keys()
-        if rare.isdisjoint(words):
+        ranks = [self.rank.get(w, -1) for w in words]
+        rare = self.prefix.keys() & set(ranks)
+        if not rare:
             return found
         for at in range(0, max(1, len(words) - BLOCK // 2), BLOCK // 2):
-            block = set(words[at : at + BLOCK])
-            first: dict[int, int] = {}
-            for w in rare & block:
-                for t, i in self.prefix[w]:
-                    first[t] = min(i, first.get(t, i))
-            for t, i in first.items():
-                own = self.ordered[t]
-                if len(block) < self.need[t] or len(own) - i < self.need[t]:
-                    continue
-                share = sum(w in block for w in own) / len(own)
-                if share >= self.need[t] / len(own):
-                    found[self.labels[t]] = max(share, found.get(self.labels[t], 0.0))
+            there = frozenset(ranks[at : at + BLOCK]) - {-1}
+            kept = sorted(there)
+            for t in {t for x in rare & there for t in self.prefix[x]}:
+                n = self.met(t, kept, there)
+                if n:
+                    found[self.labels[t]] = max(n / len(self.ordered[t]), found.get(self.labels[t], 0.0))
         return found
 
 

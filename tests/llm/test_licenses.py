@@ -46,3 +46,25 @@ def test_scan(spark):
 
 def test_empty(spark):
     assert licenses.scan(cases.empty(spark)).count() == 0
+
+
+def test_filters_leave_pairs_out(monkeypatch):
+    """Each filter decides on some pair, and none changes what is found."""
+    words = [f"w{k}" for k in range(40)]
+    templates = (("a", " ".join(words[:20])), ("b", " ".join(words[10:40])))
+    index = licenses.Index.build({w.encode(): k for k, w in enumerate(words)}, templates)
+    rank = lambda ws: sorted(index.rank[w.encode()] for w in ws)
+    met = lambda t, ws: index.met(t, rank(ws), frozenset(rank(ws)))
+    assert met(0, words[:16]) == 16 and met(0, words[:15]) == 0  # length
+    assert met(0, words[5:40]) == 0  # the template's first five words are missing, and 15 can follow
+    assert met(1, words[:9] + words[12:30]) == 0 and met(1, words[16:40]) == 24
+    rng = random.Random(2)
+    for _ in range(300):
+        block = rng.sample(words, rng.randint(1, 40))
+        for t, (_, text) in enumerate(templates):
+            n = len(set(text.split()) & set(block))
+            assert met(t, block) == (n if n >= index.need[t] else 0)
+
+
+def test_templates_fit_into_half_a_block():
+    assert all(len(licenses.words_of(text)) <= licenses.BLOCK // 2 for _, text in licenses.TEMPLATES)
