@@ -100,30 +100,30 @@ def _distance(x, y) -> Column:
     return F.bit_count(x.bitwiseXOR(y))
 
 
-def pivot_table(prints: DataFrame) -> DataFrame:
-    """``prints`` (column fp) with ``far``, its packed distances to the deciding references, and ``cells``.
+_POINTS = np.array([[p & (1 << 64) - 1, q & (1 << 64) - 1] for _, p, q in REFERENCES], np.uint64).reshape(-1)
+_CHOICES = list(itertools.combinations(range(len(_BLOCKS)), _ALIKE))
+
+
+def _pivots(prints: pd.Series) -> pd.DataFrame:
+    """Rows of the table of distances for a batch of fingerprints."""
+    far = np.bitwise_count(prints.to_numpy(np.int64).view(np.uint64)[:, None] ^ _POINTS)
+    apart = (far[:, 0::2].astype(np.int64) - far[:, 1::2] + np.array([_BLOCKS[k][1] - _BLOCKS[k][0] for k, _, _ in REFERENCES])) >> 1  # 0..11
+    blocks = [(apart[:, k * _PAIRS : (k + 1) * _PAIRS] << 4 * np.arange(_PAIRS)).sum(1).astype(np.uint64) for k in range(len(_BLOCKS))]
+    cells = []
+    for n, own in enumerate(_CHOICES):
+        cell = np.full(len(prints), n + 1, np.uint64)
+        for k in own:  # a mixture of 64 bits; should two cells share one, their pairs are still verified
+            cell = (cell ^ blocks[k]) * np.uint64(0x9E3779B97F4A7C15)
+            cell ^= cell >> np.uint64(29)
+        cells.append(cell)
+    packed_far = np.ascontiguousarray(far[:, :: far.shape[1] // _DECIDING][:, :_DECIDING]).view(np.int64)
+    return pd.DataFrame({"f0": packed_far[:, 0], "f1": packed_far[:, 1], "cells": list(np.stack(cells, 1).view(np.int64))})
 
-    Written as loops over short arrays: as many columns would make the planner and the compiler costly.
-    """
-    references = F.array(*[F.lit(x) for _, p, q in REFERENCES for x in (p, q)])
-    widths = F.array(*[F.lit(hi - lo) for lo, hi in _BLOCKS])
-    choices = F.array(*[F.array(*map(F.lit, own)) for own in itertools.combinations(range(len(_BLOCKS)), _ALIKE)])
-    at = lambda name, i: F.get(F.col(name), i)
-
-    def block(k):  # (difference + block width) / 2 is in 0..11
-        step = lambda v, i: v * 16 + F.shiftright(at("distances", 2 * i) - at("distances", 2 * i + 1) + F.get(widths, k), 1)
-        return F.aggregate(F.sequence(k * _PAIRS, k * _PAIRS + (_PAIRS - 1)), k.cast("long"), step)
-
-    apart = 2 * len(REFERENCES) // _DECIDING
-    pack = lambda half: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda v, i: v * 256 + at("distances", (half * 8 + i) * apart))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(len(_BLOCKS) - 1)), block)
-    cells = lambda b: F.transform(choices, lambda own, n: F.xxhash64(n, F.transform(own, lambda k: F.get(b, k))))
-    return (
-        prints.withColumn("distances", F.transform(references, lambda x: _distance(F.col("fp"), x)))
-        .withColumn("far", F.transform(F.sequence(F.lit(0), F.lit(_DECIDING // 8 - 1)), pack))
-        .withColumn("cells", F.get(F.transform(F.array(blocks), cells), F.lit(0)))  # the blocks are worked out once
-        .drop("distances")
-    )
+
+def pivot_table(prints: DataFrame) -> DataFrame:
+    """``prints`` (column fp) with f0 and f1, its packed distances to the deciding references, and ``cells``."""
+    table = F.pandas_udf(_pivots, "f0 long, f1 long, cells array<long>")
+    return prints.withColumn("table", table("fp")).select(*prints.columns, "table.f0", "table.f1", "table.cells")
 
 
 def _within(x: Column, y: Column) -> Column:
@@ -135,7 +135,7 @@ def _within(x: Column, y: Column) -> Column:
 def links(prints: DataFrame) -> DataFrame:
     """Pairs a < b of the distinct fingerprints (column fp) within 2 bits of each other; with a column ``node``, pairs of nodes."""
     named = prints if "node" in prints.columns else prints.withColumn("node", F.col("fp"))
-    own = pivot_table(named).select("fp", "node", F.col("far")[0].alias("f0"), F.col("far")[1].alias("f1"), F.explode("cells").alias("cell"))
+    own = pivot_table(named).select("fp", "node", "f0", "f1", F.explode("cells").alias("cell"))
     other = own.select("cell", *[F.col(c).alias(c + "_2") for c in ("fp", "node", "f0", "f1")])
     met = own.join(other, "cell").where("fp < fp_2")
     near = met.where(_within(F.col("f0"), F.col("f0_2")) & _within(F.col("f1"), F.col("f1_2"))).where(_distance(F.col("fp"), F.col("fp_2")) <= RADIUS)
