@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a table of rates or counts that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +22,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesselink-checkpoint-"))
     return df.checkpoint()
+
+
+def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` cut, as the narrow side of a join: broadcast if it has at most ``most`` rows, as counted, else joined by shuffle.
+
+    A frequent key of the other side then stays where it is, or is split at run time, both sides being plain tables.
+    """
+    narrow = cut(df)
+    return F.broadcast(narrow) if narrow.count() <= most else narrow

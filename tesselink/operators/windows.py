@@ -77,3 +77,27 @@ def shift_ranks(pairs: DataFrame, deleted: DataFrame, rank: str = "rk") -> DataF
     marked = pairs.join(deleted.select("s1_id", F.lit(1).alias("__gone")), "s1_id", "left")
     above = F.sum(F.coalesce("__gone", F.lit(0))).over(rec().orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn(rank, (F.col(rank) - above).cast("int")).where("__gone is null").select(*pairs.columns)
+
+
+def retrieval_context(pairs: DataFrame) -> DataFrame:
+    """The columns of the first stage that set a pair beside its record's and its entity's others.
+
+    Takes cos_n, cos_a, q_nm_ts and q_ad_ts.  ``rec_max_``, ``gap_`` and ``marg_`` (over the best other one) for each
+    view, ``gap2_c`` (the lead of the first on the second, else the distance to the first), and the entity's side.
+    """
+    x = pairs.withColumn("cos_c", F.col("cos_n") + F.col("cos_a"))
+    x = x.withColumns({"rec_ncand": F.count("*").over(rec()), "rk_rec_c": _rank(rec(), "cos_c", "s1_id"), "__rk_n": _rank(rec(), "cos_n", "s1_id"), "__rk_a": _rank(rec(), "cos_a", "s1_id"),
+                       "q_nm_gap": F.col("q_nm_ts") - F.max("q_nm_ts").over(rec()), "q_ad_gap": F.col("q_ad_ts") - F.max("q_ad_ts").over(rec())} | {f"rec_max_{v}": F.max(f"cos_{v}").over(rec()) for v in "cna"})
+    second = lambda v, rank: F.coalesce(F.max(F.when(F.col(rank) == 2, F.col(f"cos_{v}"))).over(rec()), F.lit(0.0))
+    x = x.withColumns({"__sec_c": second("c", "rk_rec_c"), "sec_n": second("n", "__rk_n"), "sec_a": second("a", "__rk_a"), "s1_nrec": F.count("*").over(ent()),
+                       "s1_top1": F.sum((F.col("rk_rec_c") == 1).cast("int")).over(ent()), "s1_rank_c": _rank(ent(), "cos_c", "rec_id"), "s1_max_c": F.max("cos_c").over(ent())})
+    lead = lambda v, rank, sec: F.col(f"cos_{v}") - F.when(F.col(rank) == 1, F.col(sec)).otherwise(F.col(f"rec_max_{v}"))
+    x = x.withColumns({f"gap_{v}": F.col(f"cos_{v}") - F.col(f"rec_max_{v}") for v in "cna"} | {
+        "gap2_c": lead("c", "rk_rec_c", "__sec_c"), "marg_n": lead("n", "__rk_n", "sec_n"), "marg_a": lead("a", "__rk_a", "sec_a"), "s1_gap_c": F.col("cos_c") - F.col("s1_max_c")})
+    return x.drop("__rk_n", "__rk_a", "__sec_c")
+
+
+def attach_reader(pairs: DataFrame, scores: DataFrame, name: str, score: str = "score") -> DataFrame:
+    """``pairs`` with a reader's score (the largest, should a pair have several) as ``name`` and its gap, rank and margin; null where it has none."""
+    one = scores.groupBy("rec_id", "s1_id").agg(F.max(score).alias(name))
+    return strict_margin(pairs.join(one, ["rec_id", "s1_id"], "left"), name, name)

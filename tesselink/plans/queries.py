@@ -184,20 +184,105 @@ def target_encoding_oof(spark, sf_dir):
     return rounded(x.select("rec_id", "s1_id", "te_min", "te_max", "te_mean", "te_cnt", "te_n", "te_unseen"), "te_min", "te_max", "te_mean")
 
 
-@query(f"""WITH {NAMES}, l AS (SELECT rec_id, s1_id, block, unnest(ex) token, CASE WHEN hnr_eq = 1 THEN 1 ELSE 0 END e FROM diffs), g AS (SELECT block, token, sum(e) s, count(*) n FROM l GROUP BY ALL)
- SELECT rec_id, s1_id, l.token, round(CASE WHEN n - 1 >= 5 THEN (s - e) / CAST(n - 1 AS DOUBLE) END, 6) loo_share, round(ln(n), 6) loo_logn FROM l JOIN g ON l.block = g.block AND l.token = g.token""")
+# The shares count only pairs that have both house numbers (hnr_eq >= 0), the pair itself left out.
+_LOO = """l AS (SELECT rec_id, s1_id, block, unnest({tokens}) token, CASE WHEN hnr_eq = 1 THEN 1 ELSE 0 END e, CASE WHEN hnr_eq >= 0 THEN 1 ELSE 0 END v FROM diffs), g AS (SELECT block, token, sum(e) s, sum(v) n FROM l GROUP BY ALL),
+ o AS (SELECT rec_id, s1_id, l.token, CASE WHEN n - v >= 5 THEN (s - e) / CAST(n - v AS DOUBLE) END share, n - v others FROM l JOIN g ON l.block = g.block AND l.token = g.token)"""
+
+
+@query(f"""WITH {NAMES}, {_LOO.format(tokens='ex')} SELECT rec_id, s1_id, token, round(share, 6) loo_share, round(ln(1 + others), 6) loo_logn FROM o""")
 def token_leave_one_out(spark, sf_dir):
     x = fx.name_pairs(spark, sf_dir)
-    x = x.withColumns(encoding.differences(F.col("t1"), F.col("t2"))).select("rec_id", "s1_id", "block", F.explode("x_extra").alias("token"), (F.col("hnr_eq") == 1).cast("int").alias("e"))
-    return rounded(encoding.leave_one_out(x, ["block", "token"], "e").drop("block", "e"), "loo_share", "loo_logn")
+    h = F.col("hnr_eq")
+    x = x.withColumns(encoding.differences(F.col("t1"), F.col("t2"))).select("rec_id", "s1_id", "block", F.explode("x_extra").alias("token"), (h == 1).cast("int").alias("e"), (h >= 0).cast("int").alias("v"))
+    return rounded(encoding.leave_one_out(x.where("token <> ''"), ["block", "token"], "e", "v").select("rec_id", "s1_id", "token", "loo_share", "loo_logn"), "loo_share", "loo_logn")
+
+
+@query(f"""WITH {NAMES}, {_LOO.format(tokens='ex')}, l2 AS (SELECT rec_id, s1_id, block, unnest(mi) token, CASE WHEN hnr_eq = 1 THEN 1 ELSE 0 END e, CASE WHEN hnr_eq >= 0 THEN 1 ELSE 0 END v FROM diffs), g2 AS (SELECT block, token, sum(e) s, sum(v) n FROM l2 GROUP BY ALL),
+ o2 AS (SELECT rec_id, s1_id, CASE WHEN n - v >= 5 THEN (s - e) / CAST(n - v AS DOUBLE) END share, n - v others FROM l2 JOIN g2 ON l2.block = g2.block AND l2.token = g2.token),
+ a AS (SELECT rec_id, s1_id, min(share) mn, max(share) mx, avg(share) av, ln(1 + min(others)) lg FROM o GROUP BY 1, 2), b AS (SELECT rec_id, s1_id, min(share) mn, max(share) mx, avg(share) av, ln(1 + min(others)) lg FROM o2 GROUP BY 1, 2)
+ SELECT d.rec_id, d.s1_id, round(a.mn, 6) ts_ex_hn_min, round(a.mx, 6) ts_ex_hn_max, round(a.av, 6) ts_ex_hn_mean, round(a.lg, 6) ts_ex_hn_logn, round(b.mn, 6) ts_mi_hn_min, round(b.mx, 6) ts_mi_hn_max, round(b.av, 6) ts_mi_hn_mean, round(b.lg, 6) ts_mi_hn_logn
+ FROM diffs d LEFT JOIN a ON a.rec_id = d.rec_id AND a.s1_id = d.s1_id LEFT JOIN b ON b.rec_id = d.rec_id AND b.s1_id = d.s1_id""")
+def token_house_stats(spark, sf_dir):
+    x = fx.name_pairs(spark, sf_dir)
+    names = [f"ts_{k}_hn_{s}" for k in ("ex", "mi") for s in ("min", "max", "mean", "logn")]
+    x = encoding.token_house_stats(x.withColumns(encoding.differences(F.col("t1"), F.col("t2"))))
+    return rounded(x.select("rec_id", "s1_id", *names), *names)
+
+
+@query(f"""WITH {NAMES}, fr AS (SELECT p_brand block, token, ln(1.0 + count(*)) ldf FROM (SELECT DISTINCT p_brand, p_partkey, unnest(string_split(p_name || ' ' || lower(p_type), ' ')) token FROM part) GROUP BY 1, 2),
+ a AS (SELECT rec_id, s1_id, min(coalesce(ldf, 0)) mn, max(coalesce(ldf, 0)) mx FROM (SELECT rec_id, s1_id, block, unnest(ex) token FROM diffs) LEFT JOIN fr USING (block, token) GROUP BY 1, 2),
+ b AS (SELECT rec_id, s1_id, min(coalesce(ldf, 0)) mn, max(coalesce(ldf, 0)) mx FROM (SELECT rec_id, s1_id, block, unnest(mi) token FROM diffs) LEFT JOIN fr USING (block, token) GROUP BY 1, 2)
+ SELECT d.rec_id, d.s1_id, round(a.mn, 6) tk_ex_df_min, round(a.mx, 6) tk_ex_df_max, round(b.mn, 6) tk_mi_df_min, round(b.mx, 6) tk_mi_df_max,
+ round(CASE WHEN len(ex) = 1 AND len(mi) = 1 THEN jaro_winkler_similarity(mi[1], ex[1]) ELSE -1 END, 6) tk_swap_sim FROM diffs d LEFT JOIN a ON a.rec_id = d.rec_id AND a.s1_id = d.s1_id LEFT JOIN b ON b.rec_id = d.rec_id AND b.s1_id = d.s1_id""")
+def token_pair_features(spark, sf_dir):
+    x = fx.name_pairs(spark, sf_dir)
+    rows = fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("block"), F.col("p_partkey").alias("id"), F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("t"))
+    x = encoding.token_features(x.withColumns(encoding.differences(F.col("t1"), F.col("t2"))), encoding.token_frequency(rows, "t"))
+    names = ["tk_ex_df_min", "tk_ex_df_max", "tk_mi_df_min", "tk_mi_df_max", "tk_swap_sim"]
+    return rounded(x.select("rec_id", "s1_id", *names), *names)
 
 
-@query(f"""WITH {NAMES}, l AS (SELECT block, unnest(ex) w, hnr_eq FROM diffs WHERE hnr_eq >= 0) SELECT block, w, count(*) n, round(avg(CASE WHEN hnr_eq = 1 THEN 1.0 ELSE 0.0 END), 6) rate FROM l GROUP BY ALL HAVING count(*) >= 2""")
+@query(f"""WITH {NAMES}, e0 AS (SELECT block, hnr_eq, unnest(list_distinct(list_filter(t2, lambda x: NOT list_contains(t1, x)))) w FROM names WHERE hnr_eq >= 0)
+ SELECT block, w, count(*) n, round(avg(CASE WHEN hnr_eq = 1 THEN 1.0 ELSE 0.0 END), 6) rate FROM e0 GROUP BY ALL HAVING count(*) >= 2""")
 def word_rates(spark, sf_dir):
     x = fx.name_pairs(spark, sf_dir)
     return rounded(encoding.word_rates(x.withColumns(encoding.differences(F.col("t1"), F.col("t2"))), 2), "rate")
 
 
+_SWAP = f"""{NAMES}, k AS (SELECT rec_id, s1_id, block, fold, y, CASE WHEN len(ex) = 1 AND len(mi) = 1 THEN mi[1] || '>' || ex[1] END x_swap FROM diffs)"""
+
+
+@query(f"""WITH {_SWAP}, o AS (SELECT x_swap, fold, sum(y) ys, count(*) ns FROM k WHERE x_swap IS NOT NULL GROUP BY ALL), t AS (SELECT x_swap, sum(ys) yt, sum(ns) nt FROM o GROUP BY 1),
+ pr AS (SELECT fold, ((SELECT sum(y) FROM names) - sum(y)) / CAST((SELECT count(*) FROM names) - count(*) AS DOUBLE) prior FROM names GROUP BY 1)
+ SELECT rec_id, s1_id, round(CASE WHEN k.x_swap IS NULL THEN -1 WHEN nt > ns THEN (yt - ys + 20 * prior) / (nt - ns + 20) END, 6) te, CASE WHEN nt > ns THEN nt - ns ELSE 0 END::BIGINT te_cnt
+ FROM k LEFT JOIN o ON o.x_swap = k.x_swap AND o.fold = k.fold LEFT JOIN t ON t.x_swap = k.x_swap LEFT JOIN pr ON pr.fold = k.fold""")
+def target_encoding_scalar(spark, sf_dir):
+    x = fx.name_pairs(spark, sf_dir)
+    x = encoding.te_scalar_out_of_fold(x.withColumns(encoding.differences(F.col("t1"), F.col("t2"))), "x_swap")
+    return rounded(x.select("rec_id", "s1_id", "te", "te_cnt"), "te")
+
+
+_TABLE = f"""{NAMES}, tab AS (SELECT token, (sum(y) + 20 * (SELECT avg(y) FROM names)) / (count(*) + 20) rate, count(*) n FROM (SELECT y, unnest(mi) token FROM diffs WHERE block <> 'Brand#11') GROUP BY 1),
+ a AS (SELECT rec_id, s1_id, min(rate) mn, max(rate) mx, avg(rate) av, min(n) cnt, count(*) n, count(*) FILTER (rate IS NULL) unseen FROM (SELECT rec_id, s1_id, unnest(mi) token FROM diffs) LEFT JOIN tab USING (token) GROUP BY 1, 2),
+ f AS (SELECT d.rec_id, d.s1_id, d.block, mn, mx, av, cnt, coalesce(n, 0) n, coalesce(unseen, 0) unseen FROM diffs d LEFT JOIN a ON a.rec_id = d.rec_id AND a.s1_id = d.s1_id)"""
+
+
+def _applied(spark, sf_dir):
+    """Encodings of the dropped tokens by a table of all blocks but one, applied to all."""
+    x = fx.name_pairs(spark, sf_dir)
+    x = x.withColumns(encoding.differences(F.col("t1"), F.col("t2")))
+    learned = x.where("block <> 'Brand#11'").select("y", F.explode("x_missing").alias("token")).where("token <> ''")
+    return encoding.te_apply(x, "x_missing", encoding.te_table(learned, prior=x.agg(F.avg("y")).first()[0]), name="te_x_missing")
+
+
+def _encoded(x):
+    names = [f"te_x_missing_{s}" for s in ("min", "max", "mean", "cnt", "n", "unseen")]
+    return rounded(x.select("rec_id", "s1_id", *names), *names[:3])
+
+
+_ENCODED = "round(mn, 6) te_x_missing_min, round(mx, 6) te_x_missing_max, round(av, 6) te_x_missing_mean, cnt te_x_missing_cnt, n te_x_missing_n"
+
+
+@query(f"WITH {_TABLE} SELECT rec_id, s1_id, {_ENCODED}, unseen te_x_missing_unseen FROM f")
+def target_encoding_applied(spark, sf_dir):
+    return _encoded(_applied(spark, sf_dir))
+
+
+@query(f"""WITH {_TABLE}, m AS (SELECT rec_id, s1_id, n, CASE WHEN block = 'Brand#11' THEN n ELSE unseen END te_x_missing_unseen, {', '.join(f"CASE WHEN block <> 'Brand#11' THEN {c} END {c}" for c in ('mn', 'mx', 'av', 'cnt'))} FROM f)
+ SELECT rec_id, s1_id, {_ENCODED}, te_x_missing_unseen FROM m""")
+def target_encoding_masked(spark, sf_dir):
+    """The block without labels reads as if no token had ever been seen."""
+    return _encoded(encoding.mask_all(_applied(spark, sf_dir), F.col("block") == "Brand#11"))
+
+
+@query(f"""WITH {NAMES}, k AS (SELECT p_partkey id, p_brand || '|' || list_aggregate(list_sort(string_split(p_name, ' ')), 'string_agg', ' ') AS "key", CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END src FROM part),
+ c AS (SELECT "key", count(*) FILTER (src = 1) s, count(*) FILTER (src <> 1) r FROM k GROUP BY 1), kc AS (SELECT id, s, r FROM k JOIN c USING ("key"))
+ SELECT rec_id, s1_id, a.s fq1_s1, a.r fq1_rec, b.s fq2_s1, b.r fq2_rec FROM names LEFT JOIN kc a ON a.id = s1_id LEFT JOIN kc b ON b.id = rec_id""")
+def name_frequency_pairs(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.name_key(F.col("p_brand"), F.col("p_name")).alias("key"), F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(2).alias("src"))
+    return encoding.attach_name_frequency(fx.name_pairs(spark, sf_dir).select("rec_id", "s1_id"), rows)
+
+
 @query(f"""WITH {NAMES}, k AS (SELECT y, (CASE hnr_eq WHEN -1 THEN 'hn-miss' WHEN 1 THEN 'same-hn' ELSE 'other' END) || '|' || (CASE WHEN len(ex) = 0 THEN 'same' WHEN len(ex) = 1 THEN 'one' ELSE 'multi' END) AS "type" FROM diffs)
  SELECT "type", count(*) tr_n, round(avg(y), 6) tr_y FROM k GROUP BY 1""")
 def type_truth(spark, sf_dir):
@@ -313,6 +398,74 @@ def token_frequency(spark, sf_dir):
     return rounded(encoding.token_frequency(rows, "t"), "ldf")
 
 
+_VIEWS = f"""{PAIRS}, v AS (SELECT rec_id, s1_id, p cos_n, ((rec_id*31 + s1_id*17) % 97) / 97.0::DOUBLE cos_a, round(p * 100, 1) nm, round((1 - p) * 100, 1) ad FROM pairs),
+ c AS (SELECT *, cos_n + cos_a cos_c FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY cos_c DESC, s1_id) rc, row_number() OVER (PARTITION BY rec_id ORDER BY cos_n DESC, s1_id) rn,
+ row_number() OVER (PARTITION BY rec_id ORDER BY cos_a DESC, s1_id) ra, row_number() OVER (PARTITION BY s1_id ORDER BY cos_c DESC, rec_id) ec FROM c),
+ m AS (SELECT rec_id, count(*) n, max(cos_c) mc, max(cos_n) mn, max(cos_a) ma, max(nm) mnm, max(ad) mad, coalesce(max(cos_c) FILTER (rc = 2), 0) sc, coalesce(max(cos_n) FILTER (rn = 2), 0) sn, coalesce(max(cos_a) FILTER (ra = 2), 0) sa FROM r GROUP BY 1),
+ e AS (SELECT s1_id, count(*) n, count(*) FILTER (rc = 1) t, max(cos_c) mc FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH {_VIEWS} SELECT r.rec_id, r.s1_id, m.n rec_ncand, rc rk_rec_c, e.n s1_nrec, e.t s1_top1, ec s1_rank_c, round(m.mc, 6) rec_max_c, round(mn, 6) rec_max_n, round(ma, 6) rec_max_a, round(cos_c - m.mc, 6) gap_c, round(cos_n - mn, 6) gap_n, round(cos_a - ma, 6) gap_a,
+ round(cos_c - CASE WHEN rc = 1 THEN sc ELSE m.mc END, 6) gap2_c, round(cos_n - CASE WHEN rn = 1 THEN sn ELSE mn END, 6) marg_n, round(cos_a - CASE WHEN ra = 1 THEN sa ELSE ma END, 6) marg_a, round(sn, 6) sec_n, round(sa, 6) sec_a,
+ round(e.mc, 6) s1_max_c, round(cos_c - e.mc, 6) s1_gap_c, round(nm - mnm, 6) q_nm_gap, round(ad - mad, 6) q_ad_gap FROM r JOIN m ON m.rec_id = r.rec_id JOIN e ON e.s1_id = r.s1_id""")
+def retrieval_context(spark, sf_dir):
+    """The columns of the first stage that set a pair beside others."""
+    p = fx.scored_pairs(spark, sf_dir)
+    p = p.select("rec_id", "s1_id", F.col("p").alias("cos_n"), (((F.col("rec_id") * 31 + F.col("s1_id") * 17) % 97) / F.lit(97.0)).alias("cos_a"), F.round(F.col("p") * 100, 1).alias("q_nm_ts"), F.round((1 - F.col("p")) * 100, 1).alias("q_ad_ts"))
+    x = windows.retrieval_context(p).drop("cos_n", "cos_a", "cos_c", "q_nm_ts", "q_ad_ts")
+    whole = ["rec_ncand", "rk_rec_c", "s1_nrec", "s1_top1", "s1_rank_c"]
+    return rounded(x, *[c for c in x.columns if c not in ("rec_id", "s1_id", *whole)]).withColumns({c: F.col(c).cast("long") for c in whole})
+
+
+@query(f"""WITH {PAIRS}, q AS (SELECT p.rec_id, p.s1_id, round(s.p, 1) ce FROM pairs p LEFT JOIN pairs s ON s.rec_id = p.rec_id AND s.s1_id = p.s1_id AND s.p >= 0.3), m AS (SELECT rec_id, max(ce) m FROM q GROUP BY 1),
+ l AS (SELECT q.rec_id, max(ce) l FROM q JOIN m ON q.rec_id = m.rec_id AND ce < m GROUP BY 1)
+ SELECT q.rec_id, s1_id, ce, round(m - ce, 6) ce_gap, row_number() OVER (PARTITION BY q.rec_id ORDER BY ce DESC NULLS LAST, s1_id) ce_rank, round(ce - coalesce(l, -20), 6) ce_margin FROM q JOIN m ON m.rec_id = q.rec_id LEFT JOIN l ON l.rec_id = q.rec_id""")
+def reader_context(spark, sf_dir):
+    """A reader that has scored some of the pairs, some twice, beside all of them."""
+    p = fx.scored_pairs(spark, sf_dir)
+    scores = p.where("p >= 0.3").select("rec_id", "s1_id", F.round("p", 1).alias("score"))
+    x = windows.attach_reader(p.select("rec_id", "s1_id"), scores.unionByName(scores.where("p >= 0.8")), "ce")
+    return rounded(x, "ce_gap", "ce_margin").withColumn("ce_rank", F.col("ce_rank").cast("long"))
+
+
+@query(f"""WITH {PAIRS} SELECT rec_id, s1_id, CASE WHEN p >= 0.9 THEN 1 ELSE 0 END y, ('0x' || substr(md5(CAST(s1_id AS VARCHAR)), 1, 6))::BIGINT % 5 fold FROM pairs""")
+def labelled_pairs(spark, sf_dir):
+    p = fx.scored_pairs(spark, sf_dir)
+    return pairs.labelled(p.select("rec_id", "s1_id"), p.where("p >= 0.9").select("s1_id", "rec_id"))
+
+
+_FRAMES = f"""{PAIRS}, gone AS (SELECT s1_id FROM (SELECT DISTINCT s1_id FROM pairs) WHERE ('0x' || substr(md5('1|' || s1_id), 1, 8))::BIGINT / 4294967296.0 < 0.19),
+ ch AS (SELECT DISTINCT rec_id FROM pairs WHERE y = 1 AND ('0x' || substr(md5('3|' || rec_id), 1, 8))::BIGINT / 4294967296.0 < 0.3),
+ own AS (SELECT CAST(rec_id AS VARCHAR) rec_id, s1_id, p, y FROM pairs), fewer AS (SELECT * FROM own WHERE s1_id NOT IN (SELECT s1_id FROM gone)),
+ clones AS (SELECT 'D' || rec_id rec_id, s1_id, p * 0.9 p, 0 y FROM pairs WHERE rec_id IN (SELECT rec_id FROM ch)),
+ fr AS (SELECT 'original' frame, * FROM own UNION ALL SELECT 'orphans', * FROM fewer UNION ALL SELECT 'decoys', * FROM own UNION ALL SELECT 'decoys', * FROM clones UNION ALL
+  SELECT 'both', * FROM fewer UNION ALL SELECT 'both', * FROM clones WHERE s1_id NOT IN (SELECT s1_id FROM gone)),
+ en AS (SELECT f.frame, s_suppkey s1_id FROM supplier, (SELECT DISTINCT frame FROM fr) f WHERE f.frame NOT IN ('orphans', 'both') OR s_suppkey NOT IN (SELECT s1_id FROM gone)),
+ bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, rec_id ORDER BY p DESC, s1_id) rk FROM fr) WHERE rk = 1 AND p >= 0.7),
+ tn AS (SELECT frame, s1_id, sum(y) n FROM fr GROUP BY 1, 2), fd AS (SELECT frame, s1_id, count(*) f, sum(y) tp FROM bs GROUP BY 1, 2), mg AS (SELECT frame, count(*) merged FROM bs WHERE rec_id LIKE 'D%' GROUP BY 1)"""
+
+
+@query(f"""WITH {_FRAMES} SELECT en.frame, round(avg(CASE WHEN coalesce(tn.n, 0) = 0 AND coalesce(f, 0) = 0 THEN 1.0 ELSE 1.25 * coalesce(tp, 0) / (0.25 * coalesce(tn.n, 0) + coalesce(f, 0)) END), 6) f, count(*) n, max(coalesce(merged, 0)) merged
+ FROM en LEFT JOIN tn ON tn.frame = en.frame AND tn.s1_id = en.s1_id LEFT JOIN fd ON fd.frame = en.frame AND fd.s1_id = en.s1_id LEFT JOIN mg ON mg.frame = en.frame GROUP BY 1""")
+def validation_frames(spark, sf_dir):
+    """F0.5 and merged decoys of the original pairs, without some entities, with clones, and with both changes."""
+    p, e = fx.scored_pairs(spark, sf_dir).select("rec_id", "s1_id", "p", "y"), fx.entities(spark, sf_dir)
+    kept = e.where(simulate.draw(1, F.col("s1_id")) >= 0.19)
+    cloned = simulate.with_clones(p, 0.3).drop("clone")
+    frames = {"original": p, "orphans": simulate.orphans(p), "decoys": cloned, "both": simulate.orphans(cloned)}
+    return rounded(simulate.frame_table(frames, {"original": e, "orphans": kept, "decoys": e, "both": kept}, 0.7), "f")
+
+
+@query(f"""WITH {PAIRS}, x AS (SELECT rec_id, s1_id, y, ('0x' || substr(md5(CAST(s1_id AS VARCHAR)), 1, 6))::BIGINT % 2 half, y = 1 AND p >= 0.4 easy, md5('1|' || rec_id || '|' || s1_id) d FROM pairs WHERE p < 0.9),
+ room AS (SELECT half, greatest(0, CAST(floor(0.2 * count(*) FILTER (y = 0)) AS BIGINT) - count(*) FILTER (y = 1 AND NOT easy)) room FROM x GROUP BY 1),
+ ez AS (SELECT *, row_number() OVER (PARTITION BY half ORDER BY d, rec_id, s1_id) place FROM x WHERE easy)
+ SELECT rec_id, s1_id, y, half FROM x WHERE NOT easy UNION ALL SELECT rec_id, s1_id, y, ez.half FROM ez JOIN room USING (half) WHERE place <= room""")
+def reader_training_pairs(spark, sf_dir):
+    """What a reader is fitted on: all negatives, the hard positives, and as many sure ones as there is room for."""
+    p = fx.scored_pairs(spark, sf_dir).select("rec_id", "s1_id", "y", "p")
+    return models.training_pairs([(p.where("p < 0.9"), True), (p.where("p >= 0.5"), False)], p.select("rec_id", "s1_id", "p"), sure=0.4, per_negative=0.2)
+
+
 # What SQL does not express: row counts and unit tests stand for these.
 
 
@@ -365,11 +518,12 @@ def pair_types(spark, sf_dir):
 def unseen_block_rules(spark, sf_dir):
     """All rules in turn over the types of one block, truth taken from the others."""
     x = cut(_typed(spark, sf_dir))
-    truth = pairs.type_truth(x.where("block <> 'France'"))
     p = F.col("nm_tset") / 200 + F.col("ad_tset") / 200
-    facts = cut(x.where("block = 'France'").join(truth, "type", "left").withColumns({
-        "p1": p, "q": p, "pf": p, "q1": p, "q2": p, "tr_n2": F.col("tr_n") * 100, "tr_y2": F.col("tr_y"), "us_n": F.lit(1000), "us_acc": F.col("tr_y"), "wfreq": F.lit(1), "n_same_core": F.lit(1), "rate": F.lit(0.5)}))
-    out = cut(decide.decide(facts.withColumn("p", F.col("p1")), 0.97))
+    x = x.withColumns({"p1": p, "q": F.col("nm_full_tsort") / 100, "pf": F.col("nm_jw") * F.col("ad_tsort") / 100, "q1": F.col("nm_tsort") / 100, "q2": F.col("ad_tset") / 100})
+    base = cut(decide.decide(x.withColumn("p", F.col("p1")), 0.97))
+    forms = pairs.normalized(fx.business_records(spark, sf_dir)).select("id", "src", "block", "n_core")
+    facts = cut(rules.block_facts(x, x.where("block <> 'France'"), base, forms, "France", "US"))
+    out = base.join(facts.select("s1_id", "rec_id"), ["s1_id", "rec_id"], "left_semi")
     out = cut(rules.drop_swaps(out, facts))
     out = cut(rules.add_noise_word(out, facts, "global"))
     out = cut(rules.add_trusted_types(out, facts))
