@@ -11,6 +11,7 @@ from ..operators import decide, encoding, models, pairs, retrieval, rules, simul
 from ..operators.cut import cut
 from ..sources import files
 from . import fixtures as fx
+from . import linkage
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -595,3 +596,12 @@ def pair_scorer(spark, sf_dir):
     x = fx.business_pairs(spark, sf_dir).join(n.select(F.col("id").alias("rec_id"), F.col("t").alias("b")), "rec_id").join(n.select(F.col("id").alias("s1_id"), F.col("t").alias("a")), "s1_id")
     scored, _ = models.CrossFit(models.TextScorer(rounds=60, most=4000)).fit_transform(cut(x), ["a", "b"], "ce")
     return rounded(scored.select("rec_id", "s1_id", "y", "ce"), "ce")
+
+
+@query()
+def link_records(spark, sf_dir):
+    """From raw records to match lists, by all stages; candidates are the retrieved ones."""
+    rows = fx.business_records(spark, sf_dir)
+    truth = rows.where("src <> 1").select((F.col("id") - F.col("id") % 4).alias("s1_id"), F.col("id").alias("rec_id")).join(rows.where("src = 1").select(F.col("id").alias("s1_id")), "s1_id")
+    config = linkage.Config(folds=3, scorer=models.GbtScorer(rounds=3, depth=3))
+    return linkage.link(rows, truth, config)[0]
