@@ -2,6 +2,8 @@ import itertools
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from tesselink.llm import sharding
 
 from . import cases
@@ -61,3 +63,31 @@ def test_hot_group_is_dealt(spark):
 
 def test_empty(spark):
     assert sharding.shard(cases.empty(spark), 4).count() == 0
+
+
+def test_cuts_of_groups_are_minimax_however_coarse_the_first_ranges(spark):
+    rng = random.Random(3)
+    for n, k, bits in ((1, 3, 2), (40, 4, 2), (300, 7, 3), (3000, 40, 4), (3000, 5, 16)):
+        sizes = {rng.getrandbits(64) - (1 << 63): rng.choice([17, 40, 90, 900]) for _ in range(n)}
+        if n == 300:
+            sizes[next(iter(sizes))] = 40_000  # one group beyond the mean
+        groups = spark.createDataFrame(list(sizes.items()), "h long, bytes long")
+        capacity, cuts = sharding.group_cuts(groups, k, bits)
+        order = [sizes[h] for h in sorted(sizes)]
+        assert capacity == smallest_capacity(order, k)
+        filled = [0] * k
+        for h, b in sizes.items():
+            filled[sum(h > c for c in cuts[:-1])] += b
+        assert max(filled) <= capacity and cuts[-1] == max(sizes)
+
+
+def test_bytes_of_the_shards_are_as_even_as_equal_texts_allow(spark):
+    rng = random.Random(4)
+    rows = [(k, "x" * rng.randint(0, 900) if k % 3 else "the same", None, None, 0, "", "") for k in range(4000)]
+    frame = spark.createDataFrame(rows, cases.SCHEMA)
+    out = sharding.shard(frame, 6).collect()
+    filled = [0] * 6
+    for r in out:
+        filled[r["shard"]] += r["size"]
+    by = frame.select(F.xxhash64("text").alias("h"), (F.octet_length("text") + 16).alias("b")).groupBy("h").agg(F.sum("b").alias("b")).collect()
+    assert max(filled) <= smallest_capacity([r["b"] for r in sorted(by, key=lambda r: r["h"])], 6)
