@@ -31,3 +31,9 @@ def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """
     narrow = cut(df)
     return F.broadcast(narrow) if narrow.count() <= most else narrow
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over all cores: for rows that are small but costly, which would be gathered into few tasks by their size."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import decide, encoding, models, pairs, retrieval, rules, simulate, translit, windows
-from ..operators.cut import cut
+from ..operators.cut import cut, spread
 from ..sources import files
 from . import fixtures as fx
 from . import linkage
@@ -365,7 +365,7 @@ def verify_checks(spark, sf_dir):
 
 @query(f"""WITH {PAIRS} SELECT rec_id, s1_id, round(jaro_winkler_similarity(rec_name, s1_name), 6) jw FROM pairs""")
 def jaro_winkler_names(spark, sf_dir):
-    p = fx.scored_pairs(spark, sf_dir)
+    p = spread(fx.scored_pairs(spark, sf_dir), "rec_id", "s1_id")
     return rounded(p.select("rec_id", "s1_id", sim.column("jaro_winkler", F.col("rec_name"), F.col("s1_name")).alias("jw")), "jw")
 
 
@@ -475,7 +475,7 @@ def indel_ratios(spark, sf_dir):
     p = fx.business_pairs(spark, sf_dir)
     n = fx.business_records(spark, sf_dir)
     x = p.join(n.select(F.col("id").alias("rec_id"), F.col("name").alias("b")), "rec_id").join(n.select(F.col("id").alias("s1_id"), F.col("name").alias("a")), "s1_id")
-    return x.select("rec_id", "s1_id", *[F.round(sim.column(s, F.col("a"), F.col("b")), 4).alias(s) for s in ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "partial_token_set_ratio")])
+    return spread(x, "rec_id", "s1_id").select("rec_id", "s1_id", *[F.round(sim.column(s, F.col("a"), F.col("b")), 4).alias(s) for s in ("ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "partial_token_set_ratio")])
 
 
 @query()
