@@ -59,7 +59,8 @@ def latin_pieces() -> re.Pattern:
 
 
 class Codec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
+        self.kept = kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -136,7 +137,7 @@ class Codec:
                     i += 1
                 else:
                     j += 1
-            if len(self._fits) >= 2 * KEPT:
+            if len(self._fits) >= 2 * self.kept:
                 self._fits.clear()
             self._fits[a, b] = found
         return found
@@ -195,7 +196,7 @@ class Codec:
             if ids is None:
                 ids = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
             if len(piece) <= 64:
-                if len(self._known) >= KEPT:
+                if len(self._known) >= self.kept:
                     self._older, self._known = self._known, {}
                 self._known[piece] = ids
         return ids
@@ -234,9 +235,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(path: str, kept: int = KEPT) -> Codec:
     """One codec for each Python worker and vocabulary file."""
-    return Codec(path)
+    return Codec(path, kept)
 
 
 def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
@@ -269,10 +270,10 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, *, text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """``docs`` without the text, with n_tokens, ids_sha256 and decoded_sha256: texts are encoded, the ids decoded, both digested.
 
-    Ids and decoded texts stay in the worker; they are what ``encode_documents`` and ``decode_documents`` return.
+    ``kept``: pieces whose ids a worker remembers; fewer take less memory and more time, the results are the same.  Ids and decoded texts stay in the worker; they are what ``encode_documents`` and ``decode_documents`` return.
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     own = others(docs, text_col, *names)
@@ -280,7 +281,7 @@ def round_trip(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFra
     schema = rows.select(*own, F.lit(0).cast("long").alias(names[0]), *[F.lit("").alias(x) for x in names[1:]]).schema
 
     def run(batches):
-        c = codec(path)
+        c = codec(path, kept)
         digit = [str(k) for k in range(len(c.token))].__getitem__
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:

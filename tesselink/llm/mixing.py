@@ -139,15 +139,13 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
         plan = F.broadcast(plan)
     own = others(docs, "size", "source_size", "target", "taken")
     col = lambda name: F.col(_P + name)
-    docs = docs.select(
-        packed(own).alias(_P + "own"), *[F.col(c).alias(_P + x) for c, x in ((id_col, "id"), (text_col, "text"), (source_col, "source"))],
-        *([] if quality is None else [quality.alias(_P + "quality")]))
-    args |= {} if quality is None else {"quality": col("quality")}
-    args |= dict(id_col=_P + "id", text_col=_P + "text", source_col=_P + "source")
+    # The text stays in the struct of own columns, once.
+    docs = docs.select(packed(own).alias(_P + "own"), *([] if quality is None else [quality.alias(_P + "quality")]))
+    args |= {k: f"{_P}own.{args[k]}" for k in ("id_col", "text_col", "source_col")} | ({} if quality is None else {"quality": col("quality")})
     rows = _keyed(docs, **args).join(plan, col("key") == col("plan_key"))
     at = F.coalesce(col("order").between(col("lo"), col("hi")), F.lit(False))
     clear = rows.where(~at).withColumn(_P + "extra", F.when(col("order") < col("lo"), col("size")).otherwise(0))
-    order = Window.partitionBy(_P + "key").orderBy(_P + "order", _P + "id", _P + "size", F.xxhash64(_P + "text"))
+    order = Window.partitionBy(_P + "key").orderBy(_P + "order", args["id_col"], _P + "size", F.xxhash64(args["text_col"]))
     ahead = col("before") + F.coalesce(F.sum(_P + "size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = rows.where(at).withColumn(_P + "extra", F.greatest(F.lit(0), F.least(col("size"), col("budget") - ahead)))
     return clear.unionByName(edge).select(
@@ -156,18 +154,23 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float =
     )
 
 
-def emit_mixed(mixed: DataFrame, columns: Sequence[str], text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """The rows of the mix: each document as often as it is taken whole, and once more cut to its remaining words.
-
-    The cut keeps the white space between the words.  ``length_col``, if given, is set to the length of a cut text.
-    """
+def _passes(mixed: DataFrame, text: Column) -> tuple[DataFrame, Column]:
+    """``mixed``, a row for each time that a document is taken, with its text as ``__mix_text``; and whether that is cut."""
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     tail = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     passes = F.concat(F.array_repeat(F.lit(0), whole), F.when(tail > 0, F.array(tail)).otherwise(F.array().cast("array<int>")))
     rows = mixed.withColumn(_P + "words", F.explode(passes))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1, F.col(_P + "words")), "")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1, F.col(_P + "words")), "")
     short = F.col(_P + "words") > 0
-    out = rows.withColumn(_P + "text", F.when(short, cut).otherwise(F.col(text_col)))
+    return rows.withColumn(_P + "text", F.when(short, cut).otherwise(text)), short
+
+
+def emit_mixed(mixed: DataFrame, columns: Sequence[str], text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of the mix: each document as often as it is taken whole, and once more cut to its remaining words.
+
+    The cut keeps the white space between the words.  ``length_col``, if given, is set to the length of a cut text.
+    """
+    out, short = _passes(mixed, F.col(text_col))
     named = {text_col: F.col(_P + "text")} | ({length_col: F.when(short, F.length(_P + "text").cast("long")).otherwise(F.col(length_col))} if length_col else {})
     return out.select(*[named.get(c, F.col(c)).alias(c) for c in columns])
 
@@ -175,9 +178,10 @@ def emit_mixed(mixed: DataFrame, columns: Sequence[str], text_col: str = "text",
 def mixed_rows(docs: DataFrame, *, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                length_col: str | None = None, **args) -> DataFrame:
     """The rows of the mix of ``docs``, all columns as they were but the text of a document that is cut, and its length."""
-    named = [F.col(c).alias(x) for c, x in ((id_col, "id"), (text_col, "text"), (source_col, "source"), (length_col or id_col, "length"))]
-    rows = docs.select(packed(docs.columns).alias("row"), *named, *([] if quality is None else [quality.alias("quality")]))
-    mixed = mix(rows, quality=None if quality is None else F.col("quality"), id_col="id", text_col="text", source_col="source", **args)
-    out = emit_mixed(mixed, ["row", "text", "length"], length_col="length" if length_col else None)
-    own = {text_col: "text"} | ({length_col: "length"} if length_col else {})
-    return out.select(*[F.col(own[c]).alias(c) if c in own else F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select(packed(docs.columns).alias("row"), *([] if quality is None else [quality.alias("quality")]))
+    mixed = mix(rows, quality=None if quality is None else F.col("quality"), id_col=f"row.{id_col}", text_col=f"row.{text_col}", source_col=f"row.{source_col}", **args)
+    out, short = _passes(mixed, F.col("row").getField(text_col))
+    own = {text_col: F.col(_P + "text")}
+    if length_col:
+        own[length_col] = F.when(short, F.length(_P + "text").cast("long")).otherwise(F.col("row").getField(length_col))
+    return out.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

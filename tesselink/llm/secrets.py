@@ -198,9 +198,9 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
 
     Under ``RULES`` a private key loses its header only; ``WHOLE`` takes its body too.
     """
-    rows = docs.select(packed(docs.columns).alias("row"), F.col(text_col).alias("text"), blob(F.col(text_col)).alias("blob"))
+    rows = docs.select(packed(docs.columns).alias("row"), blob(F.col(text_col)).alias("blob"))
     rows = _with_findings(rows, _known(docs, ledger, rules, id_col, text_col), rules)
-    text = F.col("text")
+    text = F.col("row").getField(text_col)
     step = lambda a, s: F.struct(
         F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
         F.greatest(a["at"], s["end"]).alias("at"))
