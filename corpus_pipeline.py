@@ -19,6 +19,10 @@ from tesselink.llm.common import durable, packed, table, unpacked
 from tesselink.llm.queries import vocabulary
 
 
+#: Pieces that a worker remembers: Python workers live through all stages beside the executor's full heap.
+REMEMBERED = 1 << 15
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language stay; the model learns from all rows but the held-out quarter.
 
@@ -26,8 +30,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     held out.  Repeated rows stay or go together.
     """
     known = docs.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    rows = docs.select(packed(docs.columns).alias("row"), "text")
-    found = langid.identify(rows, langid.train(known))
+    rows = docs.select(packed(docs.columns).alias("row"))
+    found = langid.identify(rows, langid.train(known), text_col="row.text")
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*unpacked("row", docs.columns))
 
 
@@ -54,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, and the token counts and digests of every text; a null text has no tokens."""
-    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary())
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary(), kept=REMEMBERED)
 
 
 STAGES = [
