@@ -59,3 +59,24 @@ def business_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.explode(F.array(*[F.lit(d) for d in (-8, -4, 0, 4, 8)])).alias("d")
     x = k.where("k % 4 <> 0").select(F.col("k").alias("rec_id"), (F.col("k") - F.col("k") % last).alias("own"), near).withColumn("s1_id", F.col("own") + F.col("d"))
     return x.join(k.select(F.col("k").alias("s1_id")), "s1_id", "left_semi").select("rec_id", "s1_id", (F.col("d") == 0).cast("int").alias("y"), tx.fold_of(F.col("own")).alias("fold"))
+
+
+#: Values of the facts about a pair that the rules read; a hash of the pair picks one of each.
+FACTS = {
+    "addr": ("same-addr", "same-addr", "same-hn", "name-only", "near", "digit"), "legal": ("none", "one", "same", "diff"), "street": ("st=", "st=", "st=", "st!", "na"),
+    "nm": ("same", "same", "drop1", "swap-typo", "add-typo", "multi-rare", "swap-rare", "swap-desc"), "ctok": ("", "", "", "+C"), "hn_rel": (-1, 0, 1, 3, 4, 5), "hnr_eq": (1, 1, 0, -1),
+    "ad_tset": (100.0, 95.0, 94.0), "ad_empty2": (0, 0, 1), "x_extra": ((), ("global",), ("global",), ("global", "a"), ("w",)), "x_missing": ((), ("x",), ("x", "y")),
+    "rate": (None, 0.29, 0.3, 0.5, 0.7), "p1": (0.01, 0.1, 0.3, 0.5, 0.7, 0.96), "q": (0.05, 0.1, 0.4, 0.5, 0.9, 0.95), "pf": (None, 0.1, 0.2, 0.7, 0.725, 0.9), "q1": (None, 0.89, 0.9, 0.99, 0.99),
+    "q2": (0.89, 0.9, 0.99, 0.99), "tr_n": (999, 1000, 5000, 5000), "tr_y": (None, 0.4, 0.49, 0.3, 0.9, 0.95), "tr_n2": (199, 200, 900, 900), "tr_y2": (None, 0.3, 0.64, 0.65, 0.8, 0.85, 0.9, 0.95),
+    "us_n": (299, 300, 900, 900), "us_acc": (None, 0.79, 0.8, 0.9, 0.9), "wfreq": (None, 10, 30, 31), "n_same_core": (1, 1, 2), "nm_tsort": (80.0, 89.0, 90.0), "nt_jac": (0.5, 0.9, 1.0), "lg_conflict": (0, 0, 1),
+}
+
+
+def rule_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer (record) beside five suppliers (entities), in blocks X and Y, with a value of each of FACTS."""
+    n = table(spark, sf_dir, "supplier").count()
+    near = F.explode(F.array(*[F.lit(13 * d) for d in range(5)])).alias("d")
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rec_id"), near).select("rec_id", ((F.col("rec_id") * 7 + F.col("d")) % n + 1).cast("long").alias("s1_id"))
+    lit = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, tuple) else F.lit(v)
+    drawn = lambda k, pool: F.get(F.array(*map(lit, pool)), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(k), "rec_id", "s1_id")), 1, 6), 16, 10).cast("long") % len(pool)).cast("int"))
+    return x.select("rec_id", "s1_id", F.when(F.col("rec_id") % 3 == 0, "Y").otherwise("X").alias("block"), *[drawn(k, v).alias(k) for k, v in FACTS.items()])

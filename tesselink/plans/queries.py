@@ -467,6 +467,150 @@ def reader_training_pairs(spark, sf_dir):
     return models.training_pairs([(p.where("p < 0.9"), True), (p.where("p >= 0.5"), False)], p.select("rec_id", "s1_id", "p"), sure=0.4, per_negative=0.2)
 
 
+def _facts_sql() -> str:
+    value = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"[{', '.join(map(value, v))}]::VARCHAR[]" if isinstance(v, tuple) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    drawn = ", ".join(f"([{', '.join(map(value, pool))}])[1 + ('0x' || substr(md5('{k}|' || rec_id || '|' || s1_id), 1, 6))::BIGINT % {len(pool)}] {k}" for k, pool in fx.FACTS.items())
+    return f"""k AS (SELECT c_custkey rec_id, CAST((c_custkey * 7 + 13 * d) % n + 1 AS BIGINT) s1_id FROM customer, range(5) t(d), (SELECT count(*) n FROM supplier)),
+ fa AS (SELECT rec_id, s1_id, CASE WHEN rec_id % 3 = 0 THEN 'Y' ELSE 'X' END block, {drawn} FROM k),
+ b AS (SELECT s1_id, rec_id FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY p1 DESC, s1_id) k FROM fa) WHERE k = 1 AND p1 >= 0.95),
+ fl AS (SELECT fa.*, EXISTS (SELECT 1 FROM b WHERE b.rec_id = fa.rec_id AND b.s1_id = fa.s1_id) acc, fa.rec_id IN (SELECT rec_id FROM b) used FROM fa),
+ tq AS (SELECT *, row_number() OVER w k, lead(q) OVER w nxt FROM fl WHERE NOT used WINDOW w AS (PARTITION BY rec_id ORDER BY q DESC, s1_id)),
+ m AS (SELECT s1_id, count(*) m FROM b GROUP BY 1)"""
+
+
+_FACTS = _facts_sql()
+_SAME = "(hnr_eq = 1 AND ad_tset >= 95)"
+_ALONE = "(addr <> 'name-only' OR (n_same_core = 1 AND legal IN ('none', 'one', 'same')))"
+_OWN = "(ctok = '' OR (ctok = '+C' AND addr = 'same-addr'))"
+_ODD = "(nm LIKE '%desc%' OR (ctok = '+C' AND addr <> 'same-addr') OR (addr = 'near' AND legal IN ('diff', 'one')))"
+
+
+def _rule_sql(add: str | None = None, drop: str | None = None) -> str:
+    """All pairs of b but those of ``drop``, and those of ``add``."""
+    out = f"WITH {_FACTS} SELECT s1_id, rec_id FROM b"
+    out += f" WHERE (s1_id, rec_id) NOT IN (SELECT (s1_id, rec_id) FROM fl WHERE acc AND {drop})" if drop else ""
+    return out + (f" UNION ALL SELECT s1_id, rec_id FROM ({add})" if add else "")
+
+
+def _rule_base(spark, sf_dir):
+    facts = cut(fx.rule_facts(spark, sf_dir))
+    return cut(decide.decide(facts, 0.95, p="p1")), facts
+
+
+@query(_rule_sql(drop=f"{_SAME} AND len(x_extra) = 1 AND len(x_missing) = 1 AND rate >= 0.3 AND rate < 0.7"))
+def rule_drop_swaps(spark, sf_dir):
+    return rules.drop_swaps(*_rule_base(spark, sf_dir))
+
+
+@query(_rule_sql(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY a, p1 DESC, s1_id) k FROM (SELECT *, CASE WHEN {_SAME} THEN 0 WHEN hnr_eq = 1 THEN 1 WHEN hn_rel = -1 THEN 2 WHEN hn_rel IN (1, 2, 3) THEN 3 ELSE 9 END a
+ FROM fl WHERE NOT used AND len(x_extra) = 1 AND x_extra[1] = 'global' AND len(x_missing) <= 1 AND ad_empty2 <> 1) WHERE a <= 3) WHERE k = 1"""))
+def rule_noise_word(spark, sf_dir):
+    return rules.add_noise_word(*_rule_base(spark, sf_dir), "global")
+
+
+@query(_rule_sql("""SELECT * FROM (SELECT *, row_number() OVER w k, lead(tr_y) OVER w nxt FROM fl WHERE NOT used WINDOW w AS (PARTITION BY rec_id ORDER BY tr_y DESC NULLS FIRST, p1 DESC, s1_id))
+ WHERE k = 1 AND nm IN ('same', 'drop1', 'swap-typo', 'multi-typo', 'add-typo') AND (nm NOT LIKE '%typo%' OR coalesce(wfreq, 0) <= 30) AND ctok = '' AND tr_y >= 0.9 AND tr_n >= 1000 AND us_acc >= 0.8 AND us_n >= 300
+ AND street = 'st=' AND addr <> 'name-only' AND (nxt IS NULL OR nxt < 0.5)"""))
+def rule_trusted_types(spark, sf_dir):
+    return rules.add_trusted_types(*_rule_base(spark, sf_dir))
+
+
+_SELF = f"SELECT * FROM tq WHERE k = 1 AND q >= 0.9 AND (nxt IS NULL OR nxt < 0.5) AND tr_y2 >= 0.8 AND tr_n2 >= 200 AND {_OWN} AND street <> 'st!' AND {_ALONE}"
+
+
+@query(_rule_sql(_SELF, "q < 0.1 AND tr_y2 < 0.5"))
+def rule_self_training(spark, sf_dir):
+    return rules.self_training(*_rule_base(spark, sf_dir))
+
+
+@query(_rule_sql(f"""SELECT tq.* FROM tq LEFT JOIN m ON m.s1_id = tq.s1_id WHERE k = 1 AND (nxt IS NULL OR nxt < 0.5) AND {_OWN} AND street <> 'st!' AND (
+ (addr <> 'name-only' AND q >= 0.9 AND tr_n2 >= 200 AND (tr_y2 >= 0.8 OR (coalesce(m, 0) <= 1 AND tr_y2 >= 0.65))) OR (addr = 'name-only' AND nm = 'same' AND n_same_core = 1 AND q >= 0.95 AND legal IN ('none', 'one', 'same')))"""))
+def rule_entity_aware(spark, sf_dir):
+    return rules.entity_aware(*_rule_base(spark, sf_dir))
+
+
+@query(_rule_sql("""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY q DESC, s1_id) k FROM (SELECT *, count(*) FILTER (addr = 'same-addr') OVER (PARTITION BY rec_id) held FROM fl)
+ WHERE NOT used AND addr = 'same-addr' AND nm IN ('multi-rare', 'swap-rare', 'add-rare') AND held = 1 AND q >= 0.9 AND ctok = '' AND street = 'st=') WHERE k = 1"""))
+def rule_lone_address(spark, sf_dir):
+    return rules.lone_address(*_rule_base(spark, sf_dir))
+
+
+_RESCORED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY s1_id) k FROM (SELECT *, max(pf) OVER (PARTITION BY rec_id) top FROM fl)
+ WHERE NOT used AND pf = top AND pf >= 0.725 AND tr_y2 >= 0.85 AND tr_n2 >= 200 AND {_ALONE} AND NOT {_ODD} AND street <> 'st!') WHERE k = 1"""
+
+
+@query(_rule_sql(_RESCORED, "pf < 0.2 AND tr_y2 < 0.5"))
+def rule_rescored(spark, sf_dir):
+    return rules.rescored(*_rule_base(spark, sf_dir))
+
+
+@query(f"""WITH {_FACTS} SELECT s1_id, rec_id FROM b WHERE (s1_id, rec_id) NOT IN (SELECT (s1_id, rec_id) FROM fl WHERE acc AND pf < 0.2 AND tr_y2 < 0.5)
+ UNION ALL SELECT s1_id, rec_id FROM ({_RESCORED}) WHERE q1 >= 0.9 AND q2 >= 0.9 AND tr_y2 >= 0.9 AND street = 'st=' AND ctok = '' AND addr NOT IN ('name-only', 'near')""")
+def rule_tighten(spark, sf_dir):
+    early, facts = _rule_base(spark, sf_dir)
+    return rules.tighten(early, cut(rules.rescored(early, facts)), facts)
+
+
+@query(f"""WITH {_FACTS}, x AS (SELECT rec_id, s1_id, CASE WHEN acc THEN 1 WHEN used OR {_ODD} OR (greatest(coalesce(p1, 0), coalesce(pf, 0)) < 0.2 AND coalesce(tr_y, 0) < 0.5) THEN 0 END y FROM fl) SELECT * FROM x WHERE y IS NOT NULL""")
+def rule_pseudo_labels(spark, sf_dir):
+    base, facts = _rule_base(spark, sf_dir)
+    return rules.pseudo_labels(facts, base, scores=("p1", "pf"), low=0.2)
+
+
+def _combined(wide: bool) -> str:
+    more = f""" OR (NOT {_SAME} AND ad_empty2 <> 1 AND ((hnr_eq = 1 AND (nt_jac = 1 OR nm_tsort >= 90)) OR (hn_rel = -1 AND (nt_jac = 1 OR nm_tsort >= 90) AND lg_conflict <> 1) OR (hn_rel IN (1, 2, 3) AND nt_jac = 1)))""" if wide else ""
+    gone = " WHERE (s1_id, rec_id) NOT IN (SELECT (s1_id, rec_id) FROM fa WHERE block = 'X' AND hn_rel IN (4, 5) AND (s1_id, rec_id) NOT IN (SELECT (s1_id, rec_id) FROM free))" if wide else ""
+    return f"""WITH {_FACTS}, free AS (SELECT s1_id, rec_id FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY q DESC, s1_id) k FROM fa) WHERE k = 1 AND q >= 0.5),
+ wr AS (SELECT block, w, avg(CASE WHEN hnr_eq = 1 THEN 1.0 ELSE 0.0 END) wrate FROM (SELECT block, unnest(x_extra) w, hnr_eq FROM fa) WHERE hnr_eq >= 0 GROUP BY 1, 2 HAVING count(*) >= 20)
+ SELECT s1_id, rec_id FROM b{gone} UNION ALL SELECT s1_id, rec_id FROM (SELECT fa.*, wrate FROM fa LEFT JOIN wr ON wr.block = fa.block AND wr.w = fa.x_extra[1])
+ WHERE (s1_id, rec_id) IN (SELECT (s1_id, rec_id) FROM free) AND rec_id NOT IN (SELECT rec_id FROM b) AND block = 'X' AND (({_SAME} AND (len(x_extra) = 0 OR (len(x_extra) = 1 AND coalesce(wrate >= 0.6, false)))){more})"""
+
+
+def _combine_facts(spark, sf_dir, wide):
+    base, facts = _rule_base(spark, sf_dir)
+    rates = encoding.word_rates(facts, 20)
+    return decide.combine(base, decide.decide(facts, 0.5, p="q"), facts.withColumn("unseen", F.col("block") == "X").drop("rate"), rates, wide=wide, min_rate=0.6)
+
+
+@query(_combined(False))
+def combine_strict(spark, sf_dir):
+    return _combine_facts(spark, sf_dir, False)
+
+
+@query(_combined(True))
+def combine_wide(spark, sf_dir):
+    return _combine_facts(spark, sf_dir, True)
+
+
+@query(f"""WITH {PAIRS}, bs AS (SELECT * FROM (SELECT s1_id, rec_id, p, row_number() OVER (PARTITION BY rec_id ORDER BY p DESC, s1_id) k FROM pairs) WHERE k = 1 AND p >= 0.005),
+ r AS (SELECT * FROM (SELECT s1_id, rec_id, greatest(1e-6, least(1 - 1e-6, p)) p, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, rec_id) r FROM bs) WHERE r <= 12),
+ l AS (SELECT s1_id, list(p::DOUBLE ORDER BY r) ps, count(*) n FROM r GROUP BY 1), u AS (SELECT s1_id, n, ps, unnest(range((1::BIGINT << n))) m FROM l),
+ w AS (SELECT s1_id, n, m, bit_count(m) t, list_product(list_transform(range(n), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN ps[i + 1] ELSE 1 - ps[i + 1] END)) pr FROM u),
+ v AS (SELECT s1_id, j, pr, t, bit_count(m & ((1::BIGINT << j) - 1)) tp FROM (SELECT *, unnest(range(n + 1)) j FROM w)),
+ e AS (SELECT s1_id, j, sum(pr * CASE WHEN j = 0 THEN (CASE WHEN t = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.25 * tp / (0.25 * t + j) END) f FROM v GROUP BY 1, 2),
+ c AS (SELECT s1_id, j FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(f, 12) DESC, j) k FROM e) WHERE k = 1)
+ SELECT r.s1_id, r.rec_id FROM r JOIN c ON c.s1_id = r.s1_id AND r.r <= c.j""")
+def expected_f(spark, sf_dir):
+    """SQL goes through every set of true records; the operator through the numbers of them."""
+    return decide.expected_f(fx.scored_pairs(spark, sf_dir))
+
+
+def _learned_sql(rounds: int) -> str:
+    out = """WITH bags AS (SELECT p_name, string_split(p_name, ' ') t, count(*) w FROM part GROUP BY 1), cells AS MATERIALIZED (SELECT p_name bag, w, i, reverse(t[i]) n, e FROM (SELECT *, unnest(t) e FROM (SELECT *, unnest(range(1, len(t) + 1)) i FROM bags))),
+ t0 AS MATERIALIZED (SELECT DISTINCT n, e, 1.0::DOUBLE t FROM cells)"""
+    for k in range(rounds):
+        out += f""", c{k} AS MATERIALIZED (SELECT n, e, sum(w * t / z) c FROM (SELECT cells.*, t, sum(t) OVER (PARTITION BY bag, i) z FROM cells JOIN t{k} USING (n, e)) GROUP BY 1, 2),
+ t{k + 1} AS MATERIALIZED (SELECT n, e, c / sum(c) OVER (PARTITION BY e) t FROM c{k})"""
+    return out + f" SELECT n AS native, e AS latin, round(c, 6) c FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY round(c, 9) DESC, e) k FROM c{rounds - 1} WHERE c >= 2) WHERE k = 1"
+
+
+@query(_learned_sql(5))
+def em_translit(spark, sf_dir):
+    """Learns which reversed word stands for which word from part names beside their reversed forms."""
+    p = fx.table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("latins"))
+    return rounded(translit.learn(p.withColumn("natives", F.transform("latins", F.reverse)), rounds=5), "c")
+
+
 # What SQL does not express: row counts and unit tests stand for these.
 
 
@@ -544,20 +688,11 @@ def combine_paths(spark, sf_dir):
 
 @query()
 def self_training_labels(spark, sf_dir):
-    facts = cut(_typed(spark, sf_dir)).withColumn("p1", F.col("nm_tset") / 200 + F.col("ad_tset") / 200)
-    return rules.pseudo_labels(facts, decide.decide(facts, 0.97, p="p1"), low=0.6)
-
-
-@query()
-def expected_f(spark, sf_dir):
-    return decide.expected_f(fx.scored_pairs(spark, sf_dir))
-
-
-@query()
-def em_translit(spark, sf_dir):
-    """Learns which reversed word stands for which word from part names beside their reversed forms."""
-    p = fx.table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("latins"))
-    return rounded(translit.learn(p.withColumn("natives", F.transform("latins", F.reverse)), rounds=5), "c")
+    x = cut(_typed(spark, sf_dir)).withColumns({"p1": F.col("nm_tset") / 200 + F.col("ad_tset") / 200, "q": F.col("nm_full_tsort") / 100})
+    base = cut(decide.decide(x, 0.97, p="p1"))
+    forms = pairs.normalized(fx.business_records(spark, sf_dir)).select("id", "src", "block", "n_core")
+    facts = cut(rules.block_facts(x, x.where("block <> 'France'"), base, forms, "France", "US"))
+    return rules.pseudo_labels(facts, base, scores=("p1", "q"), low=0.6)
 
 
 @query()
