@@ -137,7 +137,7 @@ def links(prints: DataFrame) -> DataFrame:
     named = prints if "node" in prints.columns else prints.withColumn("node", F.col("fp"))
     own = pivot_table(named).select("fp", "node", "f0", "f1", F.explode("cells").alias("cell"))
     other = own.select("cell", *[F.col(c).alias(c + "_2") for c in ("fp", "node", "f0", "f1")])
-    met = own.join(other, "cell").where("fp < fp_2")
+    met = own.join(other.hint("merge"), "cell").where("fp < fp_2")  # small when compressed, millions of rows: never to be broadcast
     near = met.where(_within(F.col("f0"), F.col("f0_2")) & _within(F.col("f1"), F.col("f1_2"))).where(_distance(F.col("fp"), F.col("fp_2")) <= RADIUS)
     return near.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
 
@@ -153,9 +153,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = durable(docs.select(packed(own).alias("own"), F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
     prints = _prints(rows)
     roots = components(links(prints)).select(F.col("node.fp").alias("of"), F.col("root.id").alias("root_id"))
-    joined = prints.join(roots, F.col("fp") == F.col("of"), "left")
+    joined = prints.join(roots.hint("merge"), F.col("fp") == F.col("of"), "left")
     named = durable(joined.select(F.col("fp").alias("of"), F.when(F.col("of").isNull(), F.col("node.id")).otherwise(F.col("root_id")).alias("component_id")))
-    found = rows.join(named, F.col("fp") == F.col("of"))
+    found = rows.join(named.hint("merge"), F.col("fp") == F.col("of"))
     return found.select(*unpacked("own", own), hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 

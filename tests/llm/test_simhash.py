@@ -3,6 +3,7 @@ import random
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tesselink.llm import simhash
 from tesselink.llm.components import components
@@ -140,3 +141,8 @@ def test_one_of_each_group_stays_with_null_and_repeated_ids(spark):
 def test_empty(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
     assert simhash.drop_near_duplicates(cases.empty(spark)).count() == 0
+
+
+def test_cells_are_never_broadcast(spark):
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    assert "rightHint=(strategy=merge)" in simhash.links(prints)._jdf.queryExecution().optimizedPlan().toString()
