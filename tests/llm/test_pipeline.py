@@ -8,8 +8,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tesselink.llm import langid, mixing, queries, secrets
@@ -245,3 +247,24 @@ def test_empty(spark, stage):
     out = corpus_pipeline.STAGES[stage][1](spark, docs, "")
     assert out.count() == 0
     assert stage == 4 or out.columns == docs.columns
+
+
+def test_python_workers_get_small_batches(spark, sf_dir):
+    most = corpus_pipeline.BATCH_ROWS
+
+    def sizes(text: pd.Series) -> pd.Series:
+        return pd.Series([len(text)] * len(text), dtype="int64")
+
+    docs = spark.range(0, 3 * most, 1, 1).selectExpr("id doc_id", "concat('text ', id) text", "'en' lang", "'s' source", "0L n_chars")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for stage in (corpus_pipeline.keep_known_languages, corpus_pipeline.drop_near_duplicates, corpus_pipeline.encode):
+            spark.conf.unset(key)
+            stage(spark, docs, sf_dir)
+            assert docs.select(F.pandas_udf(sizes, "long")("text").alias("n")).agg(F.max("n")).first()[0] <= most
+        spark.conf.set(key, "10")
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(key) == "10"  # a smaller bound of the session's own holds
+    finally:
+        spark.conf.set(key, before)
