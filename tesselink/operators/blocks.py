@@ -23,6 +23,8 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Rows of a batch that is given back, about.
 ROWS = 1 << 16
+#: Lists that Spark sends to Python at once; the setting stays in the session, as it is read when a query runs.
+LISTS = 256
 #: Entities whose records are ranked at once.
 TILE = 16
 
@@ -163,6 +165,9 @@ def _worker(rows: Callable[[Block, int | None], Iterator[dict]], schema: pa.Sche
 def _mapped(lists: DataFrame, rows, names: dict[str, str], digits: int | None) -> DataFrame:
     kinds = dict(lists.select("rec_id", F.explode("s1_ids").alias("s1_id")).dtypes)
     schema = StructType([StructField(k, _parse_datatype_string(kinds.get(v, v))) for k, v in {"rec_id": "rec_id", "s1_id": "s1_id", **names}.items()])
+    conf, key = lists.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= LISTS:
+        conf.set(key, str(LISTS))
     return lists.select("rec_id", "s1_ids", "ps").mapInArrow(_worker(rows, to_arrow_schema(schema), digits), schema)
 
 

@@ -75,3 +75,8 @@ def test_group_features_of_blocks(spark, records, entities, levels):
 
 def test_best_competitor_moves_no_pair(spark, sf_dir):
     assert not _moved(queries.best_competitor(spark, sf_dir))
+
+
+def test_few_lists_are_sent_at_once(spark):
+    blocks.context(_lists(spark, [(1, 1, 0.5)]))
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= blocks.LISTS
